@@ -5,7 +5,7 @@ sizes a and b have Jaccard >= t exactly if at most H = (1-t)/(1+t) * (a+b) eleme
 are in one of them only.
 
 Candidates meet on the rare ends of their sets: under one total order of elements
-(rare first) similar sets share one of their first a - ceil(t*a) + 1. Each candidate
+(rare first) similar sets share k of their first a - ceil(t*a) + k. Each candidate
 pair then passes the pigeonring: elements fall into m segments on a ring, and if all
 m differences sum to at most H, some segment begins a chain along which every
 partial sum of l differences stays within l*H/m. The differences come from
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from stavewright.storage import materialize, ship
 
 SEGMENTS = 16
+#: Rare elements a pair must share to be a candidate (all they need, if they need fewer). Any number is exact; more of them meet fewer strangers.
+SHARED = 4
 #: Counters of the frequency sketch that orders elements: 2^20 numbers, 4 MB, whatever the input.
 SKETCH_BITS = 20
 PAGE = 4096
@@ -145,7 +147,7 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
         for batch in batches:
             sig, ids, sizes, places = [], [], [], []
             for seq, s in _arrays(batch, w):
-                keep = len(s) - math.ceil(t * len(s) - 1e-9) + 1
+                keep = len(s) - math.ceil(t * len(s) - 1e-9) + SHARED
                 order = np.argsort(often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]  # s is sorted: ties go by hash
                 sig.append(s[order].view(np.int64))
                 ids.append(np.full(len(order), seq, dtype=np.int64))
@@ -157,9 +159,11 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
     signed = firsts.mapInArrow(sign, "sig bigint, seq bigint, n int, place int")
     a, b = signed.alias("a"), signed.alias("b")
     # Sizes must be near enough, and what lies before and after the shared element must allow the overlap.
+    overlap = f"{t / (1 + t)} * (a.n + b.n) - 1e-6"
     near = f"""a.sig = b.sig AND a.seq < b.seq AND least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9
-        AND least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {t / (1 + t)} * (a.n + b.n) - 1e-6"""
-    candidates = materialize(a.join(b, F.expr(near)).select(F.col("a.seq").alias("class_a"), F.col("b.seq").alias("class_b")).distinct(), "candidates")
+        AND least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {overlap}"""
+    met = a.join(b, F.expr(near)).groupBy(F.col("a.seq").alias("class_a"), F.col("b.seq").alias("class_b")).agg(F.count("*").alias("shared"), F.max(F.expr(f"least({SHARED}, ceil({overlap}))")).alias("least"))
+    candidates = materialize(met.where("shared >= least").select("class_a", "class_b"), "candidates")
     needed = materialize(candidates.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct(), "needed")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,8 +85,8 @@ def decompose_rests(span: Column) -> Column:
         pure = greedy(span, (a, n))
         options.append(F.when(pure["left"] == 0, pure["rests"]))
         # span - k * grain must be a multiple of the smallest plain rest: the least such k.
-        ks = F.filter(F.array(*[F.lit(k) for k in range(1, a)]), lambda k, g=grain: (span - k * _long(g) >= 0) & ((span - k * _long(g)) % _long(_SMALLEST) == 0))
-        k = F.get(ks, F.lit(0)).cast("bigint")
+        fits = [F.when((span >= k * grain) & ((span - k * grain) % _long(_SMALLEST) == 0), F.lit(k)) for k in range(1, a)]
+        k = F.coalesce(*fits).cast("bigint")
         rest, tail = greedy(span - k * _long(grain)), greedy(k * _long(grain), (a, n))
         options.append(F.when(k.isNotNull() & (rest["left"] == 0) & (tail["left"] == 0), F.concat(rest["rests"], tail["rests"])))
     return F.when(span >= 0, F.coalesce(*options))

@@ -55,18 +55,19 @@ def file_stats(table: DataFrame, partition: str, small_bytes: int) -> DataFrame:
     Only Parquet footers are read; files of one partition are combined before the
     shuffle, so the result is as many rows as there are partitions.
     """
+    meta = table.metadataColumn("_metadata")  # whatever the table's own columns are called
     files = table.groupBy(
         F.col(partition).alias("part"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_size").alias("_bytes"),
-        F.col("_metadata.file_modification_time").alias("_changed"),
+        meta["file_path"].alias("file"),
+        meta["file_size"].alias("bytes"),
+        meta["file_modification_time"].alias("changed"),
     ).agg(F.count("*").alias("n"))
     return files.groupBy("part").agg(
         F.count("*").alias("files"),
-        F.count_if(F.col("_bytes") < small_bytes).alias("small"),
-        F.sum("_bytes").alias("bytes"),
+        F.count_if(F.col("bytes") < small_bytes).alias("small"),
+        F.sum("bytes").alias("bytes"),
         F.sum("n").alias("rows"),
-        F.sum(F.xxhash64("_file", "_bytes", F.unix_micros("_changed")).cast("decimal(38,0)")).cast("string").alias("fingerprint"),
+        F.sum(F.xxhash64("file", "bytes", F.unix_micros("changed")).cast("decimal(38,0)")).cast("string").alias("fingerprint"),
     )
 
 
@@ -86,8 +87,6 @@ class Table:
             self.schema = self.spark.read.option("basePath", self.data).parquet(self.data).schema
         # Else Spark takes a partition named 01 for the number 1 and would write it elsewhere.
         self.schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == self.partition else f for f in self.schema])
-        if clash := {"_file", "_bytes", "_changed", "_no", "_no_part", "_no_first", "_no_files"} & set(self.schema.names):
-            raise ValueError(f"columns {sorted(clash)} are reserved by compaction")
 
     @property
     def data(self) -> str:
@@ -168,8 +167,8 @@ def compact(table: Table, *, max_small_files: int = 4, target_bytes: int = 256 <
     is registered first) are fine. Rows are neither lost nor doubled: rows and
     checksums of every partition are compared before anything is replaced. Repeated
     rows stay repeated; NULL partition values are a partition of their own (and so is
-    the empty text, which Parquet directories can't tell from NULL). Columns named
-    like this module's own are refused.
+    the empty text, which Parquet directories can't tell from NULL). Columns may have
+    any names.
 
     Returns ``{"version", "rewritten": [partition values], "files_before", "files_after"}``.
     Raises :class:`CompactionConflict` or :class:`CompactionMismatch` with the table untouched.
@@ -195,10 +194,10 @@ def compact(table: Table, *, max_small_files: int = 4, target_bytes: int = 256 <
         n = max(1, math.ceil(v["bytes"] / target_bytes))
         plan.append((k, first, n))
         first += n
-    plan_df = spark.createDataFrame(plan, "_no_part string, _no_first int, _no_files int")  # one row a chosen partition
-    columns = [F.col(f"`{c}`") for c in table.schema.names]
-    rows = table.read().join(plan_df, F.col(part).eqNullSafe(F.col("_no_part")))
-    number = F.col("_no_first") + F.pmod(F.xxhash64(*columns), F.col("_no_files")).cast("int")
+    plan_df = spark.createDataFrame(plan, "part string, first int, files int").alias("plan")  # one row a chosen partition
+    columns = [F.col(f"rows.`{c}`") for c in table.schema.names]
+    rows = table.read().alias("rows").join(plan_df, F.col(f"rows.`{part}`").eqNullSafe(F.col("plan.part")))
+    number = F.col("plan.first") + F.pmod(F.xxhash64(*columns), F.col("plan.files")).cast("int")
     staging = f"{table.root}/staging-{uuid.uuid4().hex}"
     rows.repartitionById(first, number).select(*columns).write.partitionBy(part).parquet(staging)
 

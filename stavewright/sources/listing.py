@@ -97,7 +97,8 @@ def wanted_files(listing: DataFrame, sources: DataFrame) -> DataFrame:
     """The row to keep for each file that its source's globs ask for.
 
     ``listing`` has ``file_id, source, path, listed_at`` and any further columns;
-    ``sources`` has ``source, glob``. Adds ``file_path`` (canonical). Of rows for one
+    ``sources`` has ``source, glob``. Adds ``file_path`` (canonical; it replaces a column
+    of that name). Of rows for one
     file the greatest ``listed_at`` wins (NULL is the least), then the greatest
     ``file_id``. Rows with NULL ``file_id``, ``source`` or ``path`` name no file and
     are left out; sources missing from the catalogue ask for nothing.
@@ -105,14 +106,12 @@ def wanted_files(listing: DataFrame, sources: DataFrame) -> DataFrame:
     The catalogue is joined as Spark sees fit (its statistics decide whether it is
     broadcast). The choice per file is an aggregate over ``(source, file_path)``,
     combined before the shuffle, so neither a hot source nor a file listed a million
-    times gathers in one task; only ids travel, and whole rows come back through a
-    semi-join on the unique id.
+    times gathers in one task; only ids and paths travel, and whole rows come back
+    through a join on the unique id.
     """
-    named = (
-        listing.where("file_id is not null and source is not null and path is not null")
-        .withColumn("file_path", canonical_path(F.col("path"), F.col("source")))
-        .where("file_path is not null")
-    )
-    wanted = named.join(source_patterns(sources).withColumnRenamed("source", "_s"), F.col("source") == F.col("_s")).where(F.expr("file_path rlike pattern")).drop("_s", "pattern")
-    best = wanted.groupBy("source", "file_path").agg(F.max(F.struct("listed_at", "file_id")).alias("b")).select(F.col("b.file_id").alias("file_id"))
-    return wanted.join(best, "file_id", "left_semi")
+    named = listing.select(F.col("file_id").alias("i"), F.col("source").alias("s"), canonical_path(F.col("path"), F.col("source")).alias("p"), F.col("listed_at").alias("t")).where("i is not null and s is not null and p is not null")
+    patterns = source_patterns(sources).select(F.col("source").alias("w"), F.col("pattern").alias("r"))
+    wanted = named.join(patterns, F.expr("s = w")).where("p rlike r")
+    best = wanted.groupBy("s", "p").agg(F.max(F.struct("t", "i")).alias("b")).select(F.col("b.i").alias("i"), "p")
+    kept = listing.alias("l").join(best.alias("k"), F.expr("l.file_id = k.i"))
+    return kept.select(*[F.col(f"l.`{c}`") for c in listing.columns if c != "file_path"], F.col("k.p").alias("file_path"))

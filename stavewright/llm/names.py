@@ -57,7 +57,7 @@ SELECT name, how, spelt, endswith(n1, '.') AS cut FROM (
   SELECT name, n1, stack(3,
     0, {_letters('n0')},
     1, {_letters('n1')},
-    2, CASE WHEN n1 rlike '^[^,(]+[,(][^,()]+[)]?$' THEN {_letters("regexp_replace(n1, '^([^,(]+)[,(]([^,()]+)[)]?$', '$2 $1')")} END) AS (how, spelt)
+    2, CASE WHEN n1 rlike '^[^,(]+[,(][^,()]+[)]?[.]?$' THEN {_letters("regexp_replace(n1, '^([^,(]+)[,(]([^,()]+)[)]?[.]?$', '$2 $1')")} END) AS (how, spelt)
   FROM bare) WHERE spelt <> ''
 """
 

@@ -17,7 +17,7 @@ bare as (
     '( ?([\[(](div\.|solo|tutti|optional|ossia)[\])]|[-/] ?(tutti|ossia)|\*)| part \d+| no\.? ?\d+| (i{1,3}|iv)| ?: ?\d+|_\d+| \d+)+$', '')) as n1 from dist),
 spelt as (
   select n0, n1, trim(regexp_replace(n0, '[^a-z0-9#]+', ' ', 'g')) as w0, trim(regexp_replace(n1, '[^a-z0-9#]+', ' ', 'g')) as w1,
-    case when regexp_matches(n1, '^[^,(]+[,(][^,()]+\)?$') then trim(regexp_replace(regexp_replace(n1, '^([^,(]+)[,(]([^,()]+)\)?$', '\2 \1'), '[^a-z0-9#]+', ' ', 'g')) end as w2
+    case when regexp_matches(n1, '^[^,(]+[,(][^,()]+\)?\.?$') then trim(regexp_replace(regexp_replace(n1, '^([^,(]+)[,(]([^,()]+)\)?\.?$', '\2 \1'), '[^a-z0-9#]+', ' ', 'g')) end as w2
   from bare),
 exact as (select n0, min_by(instrument, ref = w0) as instrument from spelt join refs on ref in (w0, w1, w2) group by n0),
 cut as (select n0, min(instrument) as instrument from spelt join refs on starts_with(ref, w1) where ends_with(n1, '.') and length(w1) >= 3 and n0 not in (select n0 from exact) group by n0 having count(distinct instrument) = 1),

@@ -15,7 +15,7 @@ def run(spark, names, entries=ENTRIES):
 def test_names(spark):
     cases = {
         "Violin": "violin", " 1st VIOLINE II ": "violin", "2. violin [div.]": "violin", "Solo vl": "violin", "Violin (solo) 3": "violin", "viloin": "violin", "voilni": "violin", "Vioinl": "violin",
-        "v1olin_3": "violin", "Clarinet in Eb": "clarinet_eb", "clarinet in e♭. I": "clarinet_eb", "bass (double)": "double_bass", "Bass, Double": "double_bass", "Baß": "unmatched", "bsas": "bass", "bxyz": "unmatched",
+        "v1olin_3": "violin", "Clarinet in Eb": "clarinet_eb", "clarinet in e♭. I": "clarinet_eb", "bass (double)": "double_bass", "Bass, Double": "double_bass", "bass (double). I": "double_bass", "Baß": "unmatched", "bsas": "bass", "bxyz": "unmatched",
         "Sitar": "unmatched", "Guit.": "guitar", "tro.": "unmatched", "tromb.": "trumpet", "Trombon": "trombone", "Staff 10": "unmatched", "?": "unmatched", "x" * 5000: "unmatched", None: None, "": None, "   ": None, "violin:1": "violin",
     }
     assert dict(zip(cases, run(spark, list(cases)))) == cases

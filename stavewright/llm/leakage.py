@@ -10,18 +10,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavewright.llm.tidy import pieces, tidy
+from stavewright.operators.ranking import prefix_sums
 from stavewright.storage import ship
 
 _WORD = re.compile(r"[^\W_]+")
 
-#: The automaton is broadcast: items beyond this many characters in all are refused, not truncated.
-MAX_ITEM_CHARS = 64 << 20
+#: The automaton is broadcast, so its size must be known: items are taken in blocks of about so many characters, one scan a block.
+BLOCK_CHARS = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -81,27 +83,37 @@ def stored_offsets(text: str) -> list[tuple[int, int]]:
 _MADE: dict[tuple[str, int], Passages] = {}  # a worker builds it once
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, k: int = 12, offsets: bool = True) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, k: int = 12, offsets: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row a document, item and stretch of at least ``k`` words that both share.
 
     Columns ``doc_id, item_id, first_word, n_words`` and, with ``offsets``,
     ``start_char, end_char`` in the stored text. Items of fewer than ``k`` words and
     NULL or empty texts have no stretches; an item twice under different ids gives two
-    rows; whole texts are read, however long. Items are held-out material of bounded
-    size: the driver counts their characters first and refuses more than
-    ``MAX_ITEM_CHARS``.
+    rows; whole texts are read, however long. Items are held-out material and mostly
+    one block; more of them are several, each with an automaton and a scan of its own.
     """
     spark = documents.sparkSession
     ship(spark)
     given = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    if (total := given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) > MAX_ITEM_CHARS:
-        raise ValueError(f"{total} characters of items; at most {MAX_ITEM_CHARS} can be broadcast")
-    rows = sorted((r.item_id, r.text) for r in given.collect())
+    total = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if total <= block_chars:
+        return _scan(documents, given, k, offsets)
+    placed = prefix_sums(given, [], ["item_id"], F.length("text"), "at")
+    found = [_scan(documents, placed.where(F.floor(F.col("at") / block_chars) == i).select("item_id", "text"), k, offsets) for i in range(-(-total // block_chars))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan(documents: DataFrame, given: DataFrame, k: int, offsets: bool) -> DataFrame:
+    spark = documents.sparkSession
+    rows = sorted((r.item_id, r.text) for r in given.collect())  # one block
     held, key = spark.sparkContext.broadcast(rows), (hashlib.md5(repr(rows).encode()).hexdigest(), k)
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "first_word", "n_words", *(("start_char", "end_char") if offsets else ()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = _MADE.get(key) or _MADE.setdefault(key, Passages(held.value, k))
+        if key not in _MADE:
+            _MADE.clear()
+            _MADE[key] = Passages(held.value, k)
+        passages = _MADE[key]
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -36,20 +36,34 @@ def _classes() -> np.ndarray:
     return table
 
 
-def count_tokens(texts: pa.Array) -> np.ndarray:
-    """Tokens of each text: maximal runs of word characters, or of other characters but white space. NULL has none."""
-    texts = texts.fill_null("")
-    joined = "\n".join(texts.to_pylist())  # white space between texts belongs to no token
+#: Texts are counted together up to so many characters, so memory doesn't follow the length of a batch (one text is one piece).
+CHARS_AT_ONCE = 4 << 20
+
+
+def _count(texts: list[str]) -> np.ndarray:
+    joined = "\n".join(texts)  # white space between texts belongs to no token
     classes = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    starts = np.empty(len(classes) + 1, dtype=np.int64)
-    starts[0] = 0
-    if len(classes):
-        first = classes != 0
-        first[1:] &= classes[1:] != classes[:-1]
-        np.cumsum(first, out=starts[1:])
-    lengths = np.fromiter(map(len, texts.to_pylist()), dtype=np.int64, count=len(texts))
+    starts = np.zeros(len(classes) + 1, dtype=np.int64)
+    first = classes != 0
+    first[1:] &= classes[1:] != classes[:-1]
+    np.cumsum(first, out=starts[1:])
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths + 1) - 1
-    return starts[ends] - starts[ends - lengths] if len(texts) else np.zeros(0, dtype=np.int64)
+    return starts[ends] - starts[ends - lengths]
+
+
+def count_tokens(texts: pa.Array) -> np.ndarray:
+    """Tokens of each text: maximal runs of word characters, or of other characters but white space. NULL has none."""
+    out, some, chars = [np.zeros(0, dtype=np.int64)], [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        chars += len(some[-1])
+        if chars >= CHARS_AT_ONCE:
+            out.append(_count(some))
+            some, chars = [], 0
+    if some:
+        out.append(_count(some))
+    return np.concatenate(out)
 
 
 def token_counts(documents: DataFrame) -> DataFrame:

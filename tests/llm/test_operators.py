@@ -223,12 +223,14 @@ def test_plans_place_every_item_once(histogram):
     assert seen == histogram and all(x <= 50 for x in load.values()) and sorted(load) == list(range(len(load)))
 
 
-def test_tokens():
+def test_tokens(monkeypatch):
     import re
 
     texts = ["", "a b", "foo_bar+-baz é éx", "a​b   　c", "日本語。テキスト!? ½²", "\n\n", "x" * 100000, "a\x1cb\x85c", None]
     assert packing.count_tokens(pa.array(texts)).tolist() == [len(re.findall(r"\w+|[^\w\s]+", t or "")) for t in texts]
     assert packing.count_tokens(pa.array([], pa.string())).tolist() == []
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 7)
+    assert packing.count_tokens(pa.array(texts)).tolist() == [len(re.findall(r"\w+|[^\w\s]+", t or "")) for t in texts]
 
 
 def test_pack(spark):
@@ -278,6 +280,8 @@ def test_leaks(spark):
     for r in leakage.find_leaks(df, items).where("doc_id in (1, 4)").collect():
         text = docs[0 if r.doc_id == 1 else 3][1]
         assert leakage.words(text[r.start_char : r.end_char]) == leakage.words(text)[r.first_word : r.first_word + r.n_words]
+    blocks = sorted((str(r.doc_id), r.item_id, r.n_words) for r in leakage.find_leaks(df, items, block_chars=50).collect())
+    assert blocks == got  # several automata find what one finds
     assert leakage.find_leaks(df, items.limit(0)).count() == 0 and leakage.find_leaks(df.limit(0), items).count() == 0
 
 

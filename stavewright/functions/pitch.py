@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stavewright.functions.fixed import FIFTHS, QUALITIES, SEMITONES, STEPS
+from stavewright.functions.fixed import FIFTHS, INTERVALS, QUALITIES, SEMITONES, STEPS, TRANSPOSITIONS
 
 
 def _at(values: list, index: Column) -> Column:
@@ -59,6 +59,25 @@ def between(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column])
     return (step_index(b[0]) - step_index(a[0]) + 7 * (b[2] - a[2])).cast("int"), (midi(*b) - midi(*a)).cast("int")
 
 
+def negate(letters: Column, semitones: Column) -> tuple[Column, Column]:
+    """The same interval the other way."""
+    return -letters, -semitones
+
+
+def compose(a: tuple[Column, Column], b: tuple[Column, Column], octaves: int = 0) -> tuple[Column, Column]:
+    """One interval after another, and whole octaves."""
+    return a[0] + b[0] + 7 * octaves, a[1] + b[1] + 12 * octaves
+
+
+def interval(name: str) -> tuple[Column, Column]:
+    """``perfect_fifth`` and the like, or an instrument's transposition such as ``major_ninth_down``."""
+    return tuple(map(F.lit, INTERVALS.get(name) or TRANSPOSITIONS[name]))
+
+
+def is_unison(letters: Column, semitones: Column) -> Column:
+    return (letters == 0) & (semitones == 0)
+
+
 def fifths_delta(letters: Column, semitones: Column) -> Column:
     """What an interval adds to a key signature: where it takes C."""
     to = transpose(F.lit("C"), F.lit(0), F.lit(4), letters, semitones)
@@ -89,7 +108,7 @@ def interval_name(letters: Column, semitones: Column) -> Column:
     down = (letters < 0) | (semitones < 0)
     d, c = F.when(down, -letters).otherwise(letters), F.when(down, -semitones).otherwise(semitones)
     # Whole octaves are counted toward zero.
-    octaves = F.expr("0") + F.when(d >= 0, F.floor(d / 7)).otherwise(-F.floor(-d / 7)).cast("int")
+    octaves = F.when(d >= 0, F.floor(d / 7)).otherwise(-F.floor(-d / 7)).cast("int")
     d0, c0 = d - 7 * octaves, c - 12 * octaves
     quality = F.concat(d0.cast("string"), F.lit("d/"), c0.cast("string"), F.lit("c"))
     for (x, y), name in QUALITIES.items():
@@ -102,7 +121,7 @@ def interval_name(letters: Column, semitones: Column) -> Column:
 def key_name(key: Column) -> Column:
     """The major key of a signature: ``B♭ major``, written ``Bb major``."""
     step, alter = from_fifths(key)
-    return F.concat(step, F.when(alter > 0, F.expr("'#'")).otherwise(F.lit("")), F.when(alter > 1, F.lit("#")).otherwise(F.lit("")), F.when(alter < 0, F.lit("b")).otherwise(F.lit("")), F.when(alter < -1, F.lit("b")).otherwise(F.lit("")), F.lit(" major"))
+    return F.concat(step, F.when(alter > 0, F.lit("#")).otherwise(F.lit("")), F.when(alter > 1, F.lit("#")).otherwise(F.lit("")), F.when(alter < 0, F.lit("b")).otherwise(F.lit("")), F.when(alter < -1, F.lit("b")).otherwise(F.lit("")), F.lit(" major"))
 
 
 def midi_name(note: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stavewright.functions import pitch
+from stavewright.functions.schema import EVENT, MEASURE, PART, REFUSAL
 from stavewright.sources.dimensions import instruments
 
 _EVENT = ["kind", "step", "alter", "octave", "dur_type", "dots", "tie", "chord", "voice", "actual", "normal"]
@@ -26,6 +27,22 @@ def events_of(scores: DataFrame) -> DataFrame:
     return m.select("score_key", "part_idx", "measure_idx", "m.number", F.posexplode("m.events").alias("event_idx", "e")).select("score_key", "part_idx", "measure_idx", "number", "event_idx", "e.*")
 
 
+def assemble(parts: DataFrame, measures: DataFrame, events: DataFrame) -> DataFrame:
+    """Long tables (as :func:`parts_of` and the others give them) to rows of SCORE.
+
+    Measures without events and parts without measures stay; order is that of the
+    ``_idx`` columns. Groups are a measure, a part, a score: bounded by a file.
+    """
+    listed = lambda order, item: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), item.alias("x")))), lambda s: s["x"])
+    e = events.groupBy("score_key", "part_idx", "measure_idx").agg(listed("event_idx", F.struct(*_EVENT)).alias("events"))
+    m = measures.join(e, ["score_key", "part_idx", "measure_idx"], "left").withColumn("events", F.coalesce("events", F.array().cast(f"array<{EVENT}>")))
+    m = m.groupBy("score_key", "part_idx").agg(listed("measure_idx", F.struct("number", F.col("key_sig").alias("key"), "beats", "beat_type", "clef", "events")).alias("measures"))
+    p = parts.join(m, ["score_key", "part_idx"], "left").withColumn("measures", F.coalesce("measures", F.array().cast(f"array<{MEASURE}>")))
+    return p.groupBy("score_key").agg(listed("part_idx", F.struct("instrument", "name", "transpose", "measures")).alias("parts")).select(
+        "score_key", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("composer"), F.col("parts").cast(f"array<{PART}>").alias("parts"), F.lit(None).cast(REFUSAL).alias("error")
+    )
+
+
 def _over_notes(parts: Column, change) -> Column:
     """``parts`` with ``change(part, measure, event) -> event`` applied inside the nested row: no shuffle."""
     return F.transform(parts, lambda p: p.withField("measures", F.transform(p["measures"], lambda m: m.withField("events", F.transform(m["events"], lambda e: change(p, m, e))))))

@@ -45,6 +45,26 @@ def pending(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return jobs.join(done.select(key), key, "left_anti")
 
 
+def conversion_jobs(found: DataFrame, converted: DataFrame) -> DataFrame:
+    """``(source_path, target_path)`` of the mscx files below ``found.path`` that no MusicXML file of ``converted.path`` stands for yet."""
+    jobs = found.where(F.endswith("path", F.lit(".mscx"))).select(F.col("path").alias("source_path"), F.concat(F.lit("musicxml/"), F.regexp_replace(base_name(F.col("path")), r"\.mscx$", ".musicxml")).alias("target_path"))
+    return pending(jobs, converted.select(F.col("path").alias("target_path")), "target_path")
+
+
+def download(row, raw: str = "data/raw") -> str:
+    """Fetch one row of the catalogue to the driver's disk: ``ok``, or the typed reason why not. A helper, not a Spark job."""
+    import subprocess
+    from pathlib import Path
+
+    target = Path(raw, row["source"])
+    if row["repository"] is None:
+        return "ok" if target.is_dir() else "manual_download_required"
+    if (target / ".git").is_dir():
+        return "already_downloaded"
+    ran = subprocess.run(["git", "clone", "--depth", "1", row["repository"], str(target)], capture_output=True)
+    return "ok" if ran.returncode == 0 else "git_clone_failed"
+
+
 def _parse_one(kind: str, key: str, content: bytes | str) -> dict:
     from stavewright.sources import kern, musicxml
 

@@ -43,6 +43,14 @@ def test_encoding_agrees_with_the_vocabulary_and_decodes(spark):
     assert {(r.seq_id, r.part_idx): (r.instrument, r["name"]) for r in parts.collect()} == {(s["score_key"], i): (p["instrument"], p["name"]) for s in scores for i, p in enumerate(s["parts"])}
 
 
+def test_facade_round_trip(spark):
+    from stavewright import api
+
+    scores = [random_score(200 + i) for i in range(12)] + [with_measure()]
+    back = api.from_tokens(api.to_tokens(frame(spark, scores)))
+    assert {r.score_key: r.parts for r in back.collect()} == {r.score_key: r.parts for r in frame(spark, scores).collect()}
+
+
 def test_random_scores_survive_musicxml(spark):
     scores = [random_score(100 + i) for i in range(25)]
     for r in musicxml.to_musicxml(frame(spark, scores)).collect():
@@ -171,6 +179,9 @@ def test_dimensions_and_rendering(spark):
     from stavewright.operators.render import available, render_svg
 
     assert dimensions.sources(spark).count() == 10 and dimensions.instruments(spark).where("transposition is not null").count() == 58 and dimensions.durations(spark).count() == 54
+    assert corpus.download({"source": "none", "repository": None}, "/nonexistent") == "manual_download_required"
+    found = spark.createDataFrame([("a/x.mscx",), ("a/y.mscx",), ("a/z.txt",)], "path string")
+    assert [r.target_path for r in corpus.conversion_jobs(found, spark.createDataFrame([("musicxml/x.musicxml",)], "path string")).collect()] == ["musicxml/y.musicxml"]
     names = {r.name_key: r.instrument for r in dimensions.instrument_names(spark).collect()}
     assert (names["clarinet"], names["vlc"], names["clarinetineb"], names["horn"]) == ("clarinet", "cello", "clarinet_eb", "horn")
     if not available()["verovio"]:

@@ -57,19 +57,28 @@ def recip(number: Column) -> Column:
 REST = "struct<type:string,dots:int,actual:int,normal:int>"
 
 
-def greedy(span: Column, ratio: tuple[int, int] | None = None) -> Column:
-    """``struct(rests, left)``: ``span`` in undotted rests of one ratio, longest first, and what remains."""
+def _units(ratio: tuple[int, int] | None) -> Column:
+    """The undotted rests of a ratio that come out whole, longest first."""
     a, n = ratio or (1, 1)
-    units = sorted(((BASE[t] * n // a, t) for t in TYPES if BASE[t] * n % a == 0), reverse=True)
+    sizes = sorted(((BASE[t] * n // a, t) for t in TYPES if BASE[t] * n % a == 0), reverse=True)
+    return F.array(*[F.struct(_long(size).alias("size"), F.lit(t).alias("type")) for size, t in sizes])
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def greedy(span: Column, units: Column, actual: Column, normal: Column) -> Column:
+    """``struct(rests, left)``: ``span`` in ``units``, longest first, and what remains."""
     start = F.struct(F.array().cast(f"array<{REST}>").alias("rests"), span.cast("bigint").alias("left"))
-    actual, normal = (F.lit(x).cast("int") for x in (ratio or (None, None)))
 
     def take(acc: Column, u: Column) -> Column:
         rest = F.struct(u["type"].alias("type"), F.lit(0).alias("dots"), actual.alias("actual"), normal.alias("normal"))
         times = F.call_function("div", acc["left"], u["size"]).cast("int")
         return F.struct(F.concat(acc["rests"], F.array_repeat(rest, times)).alias("rests"), (acc["left"] % u["size"]).alias("left"))
 
-    return F.aggregate(F.array(*[F.struct(_long(s).alias("size"), F.lit(t).alias("type")) for s, t in units]), start, take)
+    return F.aggregate(units, start, take)
 
 
 def decompose_rests(span: Column) -> Column:
@@ -78,15 +87,17 @@ def decompose_rests(span: Column) -> Column:
     Plain rests if they suffice. Else, for each canonical ratio in turn: rests of that
     ratio alone, or the fewest of its grains that make the remainder plain.
     """
-    plain = greedy(span)
-    options = [F.when(plain["left"] == 0, plain["rests"])]
-    for a, n in CANONICAL_RATIOS:
-        grain = _SMALLEST * n // a
-        pure = greedy(span, (a, n))
-        options.append(F.when(pure["left"] == 0, pure["rests"]))
-        # span - k * grain must be a multiple of the smallest plain rest: the least such k.
-        fits = [F.when((span >= k * grain) & ((span - k * grain) % _long(_SMALLEST) == 0), F.lit(k)) for k in range(1, a)]
-        k = F.coalesce(*fits).cast("bigint")
-        rest, tail = greedy(span - k * _long(grain)), greedy(k * _long(grain), (a, n))
-        options.append(F.when(k.isNotNull() & (rest["left"] == 0) & (tail["left"] == 0), F.concat(rest["rests"], tail["rests"])))
-    return F.when(span >= 0, F.coalesce(*options))
+    nothing, plain = F.lit(None).cast("int"), _units(None)
+    whole = lambda g: F.when(g["left"] == 0, g["rests"])
+    ratios = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n"), _long(_SMALLEST * n // a).alias("grain"), _units((a, n)).alias("units")) for a, n in CANONICAL_RATIOS])
+
+    def mixed(r: Column, k: Column) -> Column:
+        both = F.struct(greedy(span - k * r["grain"], plain, nothing, nothing).alias("x"), greedy(k * r["grain"], r["units"], r["a"], r["n"]).alias("y"))
+        return _let(both, lambda g: F.when((g["x"]["left"] == 0) & (g["y"]["left"] == 0), F.concat(g["x"]["rests"], g["y"]["rests"])))
+
+    def attempt(r: Column) -> Column:
+        grains = F.filter(F.sequence(F.lit(1), r["a"] - 1), lambda k: (span >= k * r["grain"]) & ((span - k * r["grain"]) % _long(_SMALLEST) == 0))
+        return F.coalesce(_let(greedy(span, r["units"], r["a"], r["n"]), whole), _let(F.get(grains, F.lit(0)), lambda k: mixed(r, k)))
+
+    found = F.get(F.filter(F.transform(ratios, attempt), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(span >= 0, F.coalesce(_let(greedy(span, plain, nothing, nothing), whole), found))

@@ -148,8 +148,9 @@ def spell(tokens: DataFrame) -> DataFrame:
 def decode(sequences: DataFrame, key: str = "seq_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(parts, measures, events)``, long, of sequences ``(key, tokens)``.
 
-    The measure of a token is the number of ``measure`` tokens so far; its part is the
-    last ``part`` since then, its voice the last ``voice`` since the part (else 1); an
+    The ``number`` of a token's measure is that of ``measure`` tokens so far; its part is
+    the last ``part`` since then (a part named twice in a measure has two measures of
+    that number; ``measure_idx`` counts a part's own), its voice the last ``voice`` since the part (else 1); an
     event begins at ``pitch`` or ``rest``, and durations, tuplets and ties belong to
     the last one. ``stop`` and ``start`` on one event are ``both``. Tokens outside any
     part, and ids without a token, say nothing. NULL and empty sequences decode to no
@@ -160,21 +161,21 @@ def decode(sequences: DataFrame, key: str = "seq_id") -> tuple[DataFrame, DataFr
     a = F.split("token", ":")
     long = long.select(key, "pos", F.get(a, F.lit(0)).alias("tag"), *[F.get(a, F.lit(i)).alias(f"a{i}") for i in (1, 2, 3)])
     run = W.partitionBy(key).orderBy("pos")
-    long = long.withColumn("measure_idx", F.sum(F.when(F.col("tag") == "measure", 1).otherwise(0)).over(run) - 1)
+    long = long.withColumn("number", F.sum(F.when(F.col("tag") == "measure", 1).otherwise(0)).over(run))
     long = long.withColumn("column", F.sum(F.when(F.col("tag").isin("measure", "part"), 1).otherwise(0)).over(run))
     inside = W.partitionBy(key, "column").orderBy("pos")
     long = long.withColumn("part_idx", F.first(F.when(F.col("tag") == "part", F.col("a1"))).over(inside).cast("int"))
     long = long.withColumn("voice", F.coalesce(F.last(F.when(F.col("tag") == "voice", F.col("a1")), ignorenulls=True).over(inside), F.lit("1")).cast("int"))
     long = long.withColumn("event_idx", F.sum(F.when(F.col("tag").isin("pitch", "rest"), 1).otherwise(0)).over(inside) - 1).withColumn("chord", F.lag("tag").over(inside) == "chord")
-    body = long.where("part_idx is not null")
+    body = long.where("part_idx is not null").withColumn("measure_idx", F.dense_rank().over(W.partitionBy(key, "part_idx").orderBy("column")) - 1)
     parts = long.where("tag = 'instrument'").select(key, (F.row_number().over(run) - 1).cast("int").alias("part_idx"), F.col("a1").alias("instrument"))
     parts = parts.join(F.broadcast(instruments(spark).select("instrument", "name")), "instrument", "left").select(key, "part_idx", "instrument", "name")
     pick = lambda tag, i: F.max(F.when(F.col("tag") == tag, F.col(f"a{i}")))
-    measures = body.groupBy(key, "part_idx", "measure_idx").agg(pick("key", 1).cast("int").alias("key_sig"), pick("time", 1).cast("int").alias("beats"), pick("time", 2).cast("int").alias("beat_type"), pick("clef", 1).alias("clef")).withColumn("number", F.col("measure_idx") + 1)
+    measures = body.groupBy(key, "part_idx", "measure_idx", "number").agg(pick("key", 1).cast("int").alias("key_sig"), pick("time", 1).cast("int").alias("beats"), pick("time", 2).cast("int").alias("beat_type"), pick("clef", 1).alias("clef"))
     head = F.col("tag").isin("pitch", "rest")
     has = lambda tag: F.max(F.when(F.col("tag") == tag, True)).isNotNull()
     start, stop = has("tie_start"), has("tie_stop")
-    events = body.where("event_idx >= 0 and tag in ('pitch','rest','dur','tuplet','tie_start','tie_stop')").groupBy(key, "part_idx", "measure_idx", "event_idx").agg(
+    events = body.where("event_idx >= 0 and tag in ('pitch','rest','dur','tuplet','tie_start','tie_stop')").groupBy(key, "part_idx", "measure_idx", "number", "event_idx").agg(
         F.when(F.max(F.when(F.col("tag") == "rest", True)), F.lit("rest")).otherwise(F.lit("note")).alias("kind"),
         pick("pitch", 1).alias("step"), pick("pitch", 2).cast("int").alias("alter"), pick("pitch", 3).cast("int").alias("octave"),
         pick("dur", 1).alias("dur_type"), pick("dur", 2).cast("int").alias("dots"),

@@ -405,7 +405,7 @@ from p where part is not null group by all having n_events > 0
 def decoded_events(spark, d):
     """Sequences decoded; the events of each part and measure."""
     _, _, events = tokens.decode(_t(spark, d, "tokens_bin").select("seq_id", "tokens"))
-    return events.groupBy("seq_id", "part_idx", F.col("measure_idx").cast("bigint").alias("measure_idx")).agg(F.count("*").alias("n_events"), F.count_if(F.col("kind") == "rest").alias("n_rests"))
+    return events.groupBy("seq_id", "part_idx", (F.col("number") - 1).cast("bigint").alias("measure_idx")).agg(F.count("*").alias("n_events"), F.count_if(F.col("kind") == "rest").alias("n_rests"))
 
 
 @_query("""

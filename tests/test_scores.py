@@ -43,6 +43,14 @@ def test_encoding_agrees_with_the_vocabulary_and_decodes(spark):
     assert {(r.seq_id, r.part_idx): (r.instrument, r["name"]) for r in parts.collect()} == {(s["score_key"], i): (p["instrument"], p["name"]) for s in scores for i, p in enumerate(s["parts"])}
 
 
+def test_a_part_named_twice_in_a_measure(spark):
+    v = {t: i for i, t in enumerate(vocabulary())}
+    ids = [v[t] for t in "bos instrument:flute measure part:0 rest dur:half:0 part:0 pitch:C:0:4 dur:half:0 tie_stop tie_start measure part:0 voice:2 rest dur:whole:0 tuplet:3:2 eos".split()]
+    _, measures, events = tokens.decode(spark.createDataFrame([(1, ids), (2, []), (3, None), (4, [9999])], "seq_id int, tokens array<int>"))
+    assert [(r.measure_idx, r.number) for r in measures.orderBy("measure_idx").collect()] == [(0, 1), (1, 1), (2, 2)]
+    assert [(r.measure_idx, r.kind, r.tie, r.voice, r.actual) for r in events.orderBy("measure_idx").collect()] == [(0, "rest", None, 1, None), (1, "note", "both", 1, None), (2, "rest", None, 2, 3)]
+
+
 def test_facade_round_trip(spark):
     from stavewright import api
 

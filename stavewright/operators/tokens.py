@@ -104,9 +104,10 @@ def _event(e: Column, before: Column) -> Column:
 
 def _measure(m: Column) -> Column:
     events = m["events"]
-    before = lambda i: F.coalesce(F.get(F.transform(events, lambda e: e["voice"]), i - 1), F.lit(0))
+    voices = F.transform(events, lambda e: e["voice"])
+    before = F.concat(F.array(F.lit(0)), F.slice(voices, F.lit(1), F.greatest(F.size(events) - 1, F.lit(0))))
     attributes = F.concat(_if(m["key"].isNotNull(), _key(m["key"])), _if(m["beats"].isNotNull(), _time(m["beats"], m["beat_type"])), _if(m["clef"].isNotNull(), _clef(m["clef"])))
-    return F.concat(attributes, F.flatten(F.transform(events, lambda e, i: _event(e, before(i)))))
+    return F.concat(attributes, F.when(F.size(events) > 0, F.flatten(F.zip_with(events, before, _event))).otherwise(_none()))
 
 
 def tokens_of(parts: Column) -> Column:

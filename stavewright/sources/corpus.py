@@ -14,7 +14,7 @@ from stavewright.functions.names import base_name
 from stavewright.functions.schema import SCORE, Refusal
 from stavewright.operators.sampling import byte_offsets, pack_u16, unpack_u16
 from stavewright.operators.tokens import encode
-from stavewright.storage import ship
+from stavewright.storage import materialize, ship
 
 
 def scan(spark: SparkSession, root: str, name_filter: str | None = None) -> DataFrame:
@@ -110,7 +110,8 @@ def parse_scores(files: DataFrame, key: str, kind: Column, content: str = "conte
 
 def ingest(scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(sequences, entries, errors)`` of parsed scores: ids, the index with byte offsets in key order, the typed refusals."""
-    made = encode(scores)
+    # Written once: three tables come of it, and files are parsed one time.
+    made = materialize(encode(scores).select("score_key", "tokens", "error"), "encoded")
     sequences = made.where("tokens is not null").select("score_key", base_name(F.col("score_key")).alias("key"), "tokens")
     entries = byte_offsets(sequences.select("score_key", "key", F.size("tokens").cast("bigint").alias("tokens")), [], ["score_key"])
     errors = made.where("error is not null").select("score_key", base_name(F.col("score_key")).alias("key"), "error.code", "error.detail")

@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
     row = dimensions.sources(spark).where(F.col("source") == args.source).first()
     if row is None:
         p.error(f"no source {args.source!r}")
-    files = corpus.scan(spark, f"{args.raw}/{args.source}", row.glob.rsplit("/", 1)[-1])
+    files = corpus.source_files(spark, f"{args.raw}/{args.source}", row.glob, row.subset)
     corpus.write_corpus(corpus.parse_scores(files, "path", F.lit(row.format)), f"{args.out}/{args.source}", row.format)
     ok, failed = corpus.load_index(spark, f"{args.out}/{args.source}").count(), spark.read.parquet(f"{args.out}/{args.source}/errors").count()
     spark.range(1).select(F.lit(ok).alias("ok"), F.lit(failed).alias("failed"), coverage(F.lit(ok), F.lit(ok + failed)).alias("percent")).show()

@@ -14,7 +14,8 @@ from stavewright.functions.names import base_name
 from stavewright.functions.schema import SCORE, Refusal
 from stavewright.operators.sampling import byte_offsets, pack_u16, unpack_u16
 from stavewright.operators.tokens import encode
-from stavewright.storage import materialize, ship
+from stavewright.sources.listing import glob_to_regex
+from stavewright.storage import filesystem, materialize, ship
 
 
 def scan(spark: SparkSession, root: str, name_filter: str | None = None) -> DataFrame:
@@ -40,6 +41,28 @@ def subset(listed: DataFrame, existing: DataFrame, line: str = "value", path: st
     return mapped.join(existing.select(path).distinct(), path, "left_semi").select(path)
 
 
+def source_files(spark: SparkSession, root: str, glob: str, subset_list: str | None = None) -> DataFrame:
+    """``(path, content)`` of what a row of the catalogue asks for below ``root``: the files ``glob`` matches or, with a list, each mention in it.
+
+    ``glob`` and ``subset_list`` are relative to ``root``. Other files are pruned by their
+    names before any is read; with a list those whose extension it never mentions are, and
+    the rest go by an equi-join. Spark's listing never shows names that begin with a dot
+    or an underscore.
+    """
+    fs, p = filesystem(spark, root)
+    base = fs.makeQualified(p).toString().rstrip("/") + "/"
+    below = lambda x: F.substring(x, len(base) + 1, 1 << 30)
+    # Only filters on the metadata prune files. Its path is a URL, in which a plus stands for itself.
+    listed = below(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    files = scan(spark, root)
+    if subset_list is None:
+        return files.where(F.rlike(listed, F.lit(glob_to_regex(glob))))
+    wanted = subset(spark.read.text(f"{root}/{subset_list}"), files.select(below(F.col("path")).alias("path"))).select(F.col("path").alias("wanted"))
+    ending = lambda x: F.regexp_extract(x, r"(\.[^./]*)?$", 0)
+    endings = [r.e for r in wanted.select(ending(F.col("wanted")).alias("e")).distinct().collect()]
+    return files.where(ending(listed).isin(endings)).join(wanted, below(F.col("path")) == F.col("wanted")).select("path", "content")
+
+
 def pending(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Jobs without a result yet."""
     return jobs.join(done.select(key), key, "left_anti")

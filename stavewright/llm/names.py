@@ -77,7 +77,9 @@ GROUP BY name HAVING count(DISTINCT instrument) = 1
 
 # A slip is a letter wrong, missing, added, or two neighbours exchanged. References of three letters and less allow
 # none, of four letters one, longer ones two. An exchange touches up to two segments, hence 2k+1 of them; only missing
-# and added letters move what follows, by one place each.
+# and added letters move what follows, by one place each. Foreign instruments are often a first letter and a slip from
+# listed ones (sitar, kalimba, lute), so with another initial a slip takes six letters of the reference; a lone one that
+# leaves the length as it is (a letter wrong, the first two exchanged) is forgiven at any length.
 _FUZZY = f"""
 WITH probes AS (
   SELECT DISTINCT n.name, n.spelt FROM {{names}} n
@@ -87,21 +89,21 @@ cuts AS (
   SELECT ref, instrument, length(ref) AS len, k, s, 1 + div(s * length(ref), 2 * k + 1) AS at, div((s + 1) * length(ref), 2 * k + 1) - div(s * length(ref), 2 * k + 1) AS n
   FROM (SELECT ref, instrument, CASE WHEN length(ref) = 4 THEN 1 ELSE 2 END AS k FROM {{refs}} WHERE length(ref) >= 4)
   LATERAL VIEW explode(sequence(0, 2 * k)) AS s),
-segments AS (SELECT ref, instrument, len, s, left(ref, 1) AS initial, substr(ref, at, n) AS piece FROM cuts),
+segments AS (SELECT ref, instrument, len, s, substr(ref, at, n) AS piece FROM cuts),
 lengths AS (SELECT name, spelt, len, CASE WHEN len = 4 THEN 1 ELSE 2 END AS k FROM probes LATERAL VIEW explode(sequence(greatest(4, length(spelt) - 2), length(spelt) + 2)) AS len),
 windows AS (
   SELECT name, spelt, len, s, 1 + div(s * len, 2 * k + 1) + shift AS at, div((s + 1) * len, 2 * k + 1) - div(s * len, 2 * k + 1) AS n
   FROM lengths LATERAL VIEW explode(sequence(0, 2 * k)) AS s LATERAL VIEW explode(sequence(-k, k)) AS shift),
-pieces AS (SELECT DISTINCT name, spelt, len, s, left(spelt, 1) AS initial, substr(spelt, at, n) AS piece FROM windows WHERE at >= 1 AND at + n - 1 <= length(spelt)),
-met AS (SELECT DISTINCT p.name, p.spelt, g.ref, g.instrument FROM pieces p JOIN segments g USING (len, s, initial, piece)),
-measured AS (SELECT name, ref, instrument, length(ref) AS n, levenshtein(spelt, ref) AS d, levenshtein({_sorted('spelt')}, {_sorted('ref')}) AS letters, abs(length(spelt) - length(ref)) AS longer FROM met),
+pieces AS (SELECT DISTINCT name, spelt, len, s, substr(spelt, at, n) AS piece FROM windows WHERE at >= 1 AND at + n - 1 <= length(spelt)),
+met AS (SELECT DISTINCT p.name, p.spelt, g.ref, g.instrument FROM pieces p JOIN segments g USING (len, s, piece)),
+measured AS (SELECT name, ref, instrument, length(ref) AS n, left(spelt, 1) <> left(ref, 1) AS other, levenshtein(spelt, ref) AS d, levenshtein({_sorted('spelt')}, {_sorted('ref')}) AS letters, abs(length(spelt) - length(ref)) AS longer FROM met),
 judged AS (
-  SELECT name, instrument, d,
+  SELECT name, instrument, d, other,
     CASE WHEN d <= 1 THEN d WHEN d = 2 AND letters = 0 THEN 1 WHEN d = 2 THEN 2
          WHEN d = 3 AND letters <= 2 AND longer <= 1 THEN 2 WHEN d = 4 AND letters = 0 THEN 2 END AS slips,
-    CASE WHEN n = 4 THEN 1 ELSE 2 END AS allowed
+    CASE WHEN other THEN greatest(least(div(n, 6), 2), CASE WHEN longer = 0 THEN 1 ELSE 0 END) WHEN n = 4 THEN 1 ELSE 2 END AS allowed
   FROM measured)
-SELECT name, min_by(instrument, struct(slips, d, instrument)) AS instrument FROM judged WHERE slips <= allowed GROUP BY name
+SELECT name, min_by(instrument, struct(slips, other, d, instrument)) AS instrument FROM judged WHERE slips <= allowed GROUP BY name
 """
 
 _MAPPED = """
@@ -119,9 +121,10 @@ def match_names(parts: DataFrame, entries: DataFrame) -> DataFrame:
     or ``voice`` and whose name is neither NULL nor blank get the id of the entry they
     mean, else ``unmatched``. A name is read as typed, then without numbering and
     directions, then with "bass, double" turned round; spelling a reference wins over
-    abbreviating it ("klavi."), which wins over misspelling it. A misspelt name must
-    begin with the right letter; of several entries the fewest slips win, then the
-    smaller Levenshtein distance, then the smaller id. An abbreviation that fits two
+    abbreviating it ("klavi."), which wins over misspelling it. A misspelt name that
+    begins with another letter is allowed fewer slips, by its length; of several entries
+    the fewest slips win, then the right first letter, then the smaller Levenshtein
+    distance, then the smaller id. An abbreviation that fits two
     instruments counts as misspelt. Two entries with one spelling: the smaller id.
     An empty reference list leaves every name unmatched; very long names match nothing.
 

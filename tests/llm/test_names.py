@@ -21,6 +21,15 @@ def test_names(spark):
     assert dict(zip(cases, run(spark, list(cases)))) == cases
 
 
+def test_slips_on_the_first_letter(spark):
+    entries = [(x, x, []) for x in ("oboe", "violin", "flute", "guitar", "marimba", "clarinetto basso", "viola", "harp")]
+    cases = {
+        "Uboe": "oboe", "ivolin": "violin", "iolin": "violin", "xviolin": "violin", "Ivolin II": "violin", "larinetto baso": "clarinetto basso", "lcarinetto baxso": "clarinetto basso", "fiola": "viola", "ahrp": "harp",
+        "Lute": "unmatched", "Sitar": "unmatched", "Kalimba": "unmatched", "Part_9": "unmatched", "arp": "unmatched", "xioliin": "unmatched",
+    }
+    assert dict(zip(cases, run(spark, list(cases), entries))) == cases
+
+
 def test_recognised_rows_empty_lists_and_repeats(spark):
     parts = spark.createDataFrame([(1, "Violin", "violin"), (None, "Violin", None), (2, "Violin", "voice"), (2, "Violin", "voice")], "part_id bigint, name string, instrument string")
     entries = spark.createDataFrame(ENTRIES, "instrument string, name string, aliases array<string>")

@@ -10,6 +10,8 @@ band after the other.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,20 +22,35 @@ from stavewright.storage import materialize
 
 # What stands in a composer field when nobody is named.
 PLACEHOLDERS = ["", "unknown", "traditional", "trad", "anon", "anonymous", "anonym", "na", "n a", "composer", "unbekannt", "various", "none", "null", "nobody", "not known", "tbd"]
-ACCENTED = "áàâäãåāçčéèêëēíìîïīñóòôöõøōúùûüūýÿšž"
-PLAIN = "aaaaaaacceeeeeiiiiinooooooouuuuuyysz"
+# Letters with a stroke and the like, which have no decomposition, and those that stand for two.
+STROKED = "øłđðħŧıɨƀɉ"
+STROKED_AS = "olddhtiibj"
+DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe"}
+
+
+def _base(c: str) -> str | None:
+    """The letter that is left of ``c`` without its marks, if there are any."""
+    first, *rest = unicodedata.normalize("NFD", c)
+    first = dict(zip(STROKED, STROKED_AS)).get(first, first)
+    return first if first != c and all(unicodedata.category(x)[0] == "M" for x in rest) else None
+
+
+_BASES = {c: b for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) in ("Ll", "Lo") and (b := _base(c))}
+ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
 
 
 def _folded(x: Column) -> Column:
     # Marks that stand alone go first, then letters that carry one.
-    return F.translate(F.regexp_replace(F.lower(x), r"\p{M}+", ""), ACCENTED, PLAIN)
+    plain = F.translate(F.regexp_replace(F.lower(x), r"\p{M}+", ""), ACCENTED, PLAIN)
+    return reduce(lambda y, c: F.replace(y, F.lit(c), F.lit(DOUBLE[c])), DOUBLE, plain)
 
 
 def composer_ties(composer: Column) -> Column:
     """``array<struct<attr, short>>``: what a composer field ties by.
 
     "Given Family", "Family, Given", years in brackets and "composed by" are read; up
-    to any number of names divided by ``/ & ;`` or "and". The whole given name ties as
+    to any number of names divided by ``/ & ;`` or "and". In either order the family is
+    its last word: "Given van X", "van X, Given" and "X, Given van" are one. The whole given name ties as
     ``f|family|given``, an initial as ``i|family|x`` with ``short`` true. Whole names
     also offer their initial (``short`` false): it ties only where somebody wrote it short.
     """
@@ -43,9 +60,10 @@ def composer_ties(composer: Column) -> Column:
 
     def one(name: Column) -> Column:
         turned = F.trim(F.when(F.contains(name, F.lit(",")), F.concat(F.regexp_extract(name, r"^[^,]*,(.*)$", 1), F.lit(" "), F.regexp_extract(name, r"^([^,]*),", 1))).otherwise(name))
-        words = F.filter(F.split(F.regexp_replace(turned, r"[^\p{L}\p{N}'-]+", " "), " "), lambda w: w != "")
-        # The family is what stands before the comma, else the last word.
-        family = F.when(F.contains(name, F.lit(",")), F.trim(F.regexp_replace(F.regexp_extract(name, r"^([^,]*),", 1), r"[^\p{L}\p{N}'-]+", " "))).otherwise(F.try_element_at(words, F.lit(-1)))
+        words_of = lambda x: F.filter(F.split(F.regexp_replace(x, r"[^\p{L}\p{N}'-]+", " "), " "), lambda w: w != "")
+        words = words_of(turned)
+        # The family is the last word before a comma, else the last of all.
+        family = F.try_element_at(words_of(F.regexp_extract(name, r"^([^,]*)", 1)), F.lit(-1))
         given = F.when(F.size(words) > 1, F.get(words, F.lit(0))).otherwise(F.lit(""))
         return F.struct(family.alias("family"), given.alias("given"), F.size(words).alias("n"))
 

@@ -22,6 +22,13 @@ from stavewright.storage import materialize
 
 # What stands in a composer field when nobody is named.
 PLACEHOLDERS = ["", "unknown", "traditional", "trad", "anon", "anonymous", "anonym", "na", "n a", "composer", "unbekannt", "various", "none", "null", "nobody", "not known", "tbd"]
+# Words of five letters that stand before a number in titles and are no siglum.
+FORMS = (
+    "canon fugue fugen march suite dance tanze motet polka waltz valse etude study rondo ronde round gigue galop tango samba mambo blues reels carol chant hymns psalm songs lieds music piece arias opera "
+    "octet nonet trios duets kyrie credo mater missa masse messe laude noels elegy idyll ballo scale drill grade level cycle entry intro tempo largo lento grave motto theme scene score parts verse books "
+    "livre folio tomus teile hefte seite blatt table plate group track staff satze april album piano organ orgel viola cello flute horns brass tenor canto basso voice choir "
+    "major minor sharp circa about after until"
+).split()
 # Letters with a stroke and the like, which have no decomposition, and those that stand for two.
 STROKED = "øłđðħŧıɨƀɉ"
 STROKED_AS = "olddhtiibj"
@@ -78,9 +85,9 @@ def composer_ties(composer: Column) -> Column:
 def title_tie(title: Column) -> Column:
     """``t|siglum|number`` of the catalogue number in a title, else NULL.
 
-    A siglum is five consonants; ``no.``, a dot, a hyphen, a space or nothing may stand before the number.
+    A siglum is five letters that aren't one of ``FORMS``; ``no.``, a dot, a hyphen, a space or nothing may stand before the number.
     """
-    found = r"(?i)(?<![\p{L}\p{N}])([b-df-hj-np-tv-z]{5})(?:\s*no\.?\s*|\s*[.-]\s*|\s*)0*([0-9]+)(?![0-9\p{L}])"
+    found = r"(?i)(?<![\p{L}\p{N}])(?!" + "|".join(FORMS) + r")([a-z]{5})(?:\s*no\.?\s*|\s*[.-]\s*|\s*)0*([0-9]+)(?![0-9\p{L}])"
     return F.when(F.rlike(title, F.lit(found)), F.lower(F.concat(F.lit("t|"), F.regexp_extract(title, found, 1), F.lit("|"), F.regexp_extract(title, found, 2))))
 
 

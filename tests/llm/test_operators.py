@@ -139,6 +139,11 @@ def test_composers_however_written(spark):
     assert grouped(spark, [(n, None) for n in names]) == {0: {0, 1, 2}, 3: {3, 4}, 5: {5, 6}, 7: {7, 8}, 9: {9, 10}, 11: {11, 12, 13}, 14: {14, 15}}
 
 
+def test_a_siglum_may_have_vowels(spark):
+    titles = ["Suite in G, KATEL 4", "katel no. 04 - March", "Suite No. 4 (KATEL-4)", "Suite No. 4", "SUITE 4", "Canon 4", "Fugue4", "March No. 4", "Trio, BCDFG 4", "BCDFG4", "KATEL 5", "KATELA 4", "Sonate 4", "Trio in D minor 4", "Lied in G minor, 4"]
+    assert grouped(spark, [(None, t) for t in titles]) == {0: {0, 1, 2}, 8: {8, 9}}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_spanning_forest(spark, seed):
     r = random.Random(seed)

@@ -161,9 +161,14 @@ def kern_events(spark, d):
 
 @_query()
 def kern_ingest(spark, d):
-    """Every listed file parsed by its kind and encoded; index rows and typed refusals."""
-    files = _t(spark, d, "raw_files")
-    kind = F.when(F.endswith("key", F.lit(".krn")), "kern").when(F.endswith("key", F.lit("xml")), "musicxml").otherwise(F.lit("musicxml"))
+    """Every listed file parsed by its source's format and encoded; index rows and typed refusals.
+
+    A source that isn't in the catalogue has files of an unknown format. Content is text,
+    so what it holds of an mxl file is the MusicXML inside.
+    """
+    formats = _t(spark, d, "sources").groupBy("source").agg(F.max("format").alias("format"))
+    files = _t(spark, d, "raw_files").join(formats, "source", "left")
+    kind = F.when(F.col("format") == "mxl", "musicxml").otherwise(F.col("format"))
     _, entries, errors = corpus.ingest(corpus.parse_scores(files, "file_id", kind))
     return entries.select("score_key", "tokens", "byte_offset", F.lit(None).cast("string").alias("code")).unionByName(errors.select("score_key", F.lit(None).cast("bigint").alias("tokens"), F.lit(None).cast("bigint").alias("byte_offset"), "code"))
 

@@ -1,6 +1,7 @@
 import zipfile
 
 from stavewright import cli
+from stavewright.plans import reference
 from stavewright.sources import corpus
 
 XML = '<score-partwise><part-list><score-part id="P1"><part-name>Flute</part-name></score-part></part-list><part id="P1"><measure number="1"><attributes><divisions>1</divisions></attributes><note><pitch><step>C</step><octave>4</octave></pitch><duration>1</duration><type>quarter</type></note></measure></part></score-partwise>'
@@ -38,3 +39,12 @@ def test_globs_hold_directories(spark, tmp_path):
         put(tmp_path / "raw" / "polish_scores" / name, text)
     assert [k for k, _ in built(spark, tmp_path, "inventions")] == ["kern/a b+%20é[1].krn"]
     assert [k for k, _ in built(spark, tmp_path, "polish_scores")] == ["c.krn", "kern/a b+%20é[1].krn", "kern/deep/b.krn", "other/d.krn"]
+
+
+def test_the_source_names_the_kind(spark, tmp_path):
+    text = "**kern\n4c\n*-\n"
+    files = [(1, "k", "a.krn", text), (2, "k", "a.KRN", text), (3, "k", "a.bak", text), (4, "x", "a.musicxml", XML), (5, "m", "a.MXL", XML), (6, "none", "a.krn", text), (7, None, "a.krn", text), (8, "k", "a.xml", XML), (9, "k", "b.krn", None)]
+    spark.createDataFrame(files, "file_id bigint, source string, key string, content string").write.parquet(f"{tmp_path}/raw_files.parquet")
+    spark.createDataFrame([("k", "kern"), ("x", "musicxml"), ("m", "mxl")], "source string, format string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = {int(r.score_key): r.code for r in reference.kern_ingest(spark, str(tmp_path)).collect()}
+    assert {i: got[i] for i in got if i != 8} == {1: None, 2: None, 3: None, 4: None, 5: None, 6: "unknown_format", 7: "unknown_format", 9: "empty"} and got[8] is not None

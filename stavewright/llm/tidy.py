@@ -5,25 +5,33 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# Fixed values. Characters that show nothing: soft hyphen, joiners, marks of direction, zero-width spaces.
-INVISIBLE = "­᠎​‌‍‎‏⁠﻿"
+# Fixed values. Characters that show nothing: soft hyphen, joiners, zero-width spaces, fillers, marks, embeddings and
+# isolates of direction, variation selectors, invisible operators, annotation, shorthand and musical controls. Not the
+# tags after a flag, which say what flag it is.
+_INVISIBLE = [
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164),
+    (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0001, 0xE0001), (0xE0100, 0xE01EF),
+]
+INVISIBLE = "".join(chr(c) for low, high in _INVISIBLE for c in range(low, high + 1))
 # Spaces that must not break a line (plain, figure, narrow), and the full-width one: an ordinary space.
 SPACES = "   　"
 # Cyrillic and Greek letters, and the Latin ones they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХЁЇЀӒӦаеѕіјорсухһԁԛԝёїѐӓӧ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXËÏÈÄÖaesijopcyxhdqwëïèäö"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫοϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXÏŸocj"
-# Full-width forms lie at a fixed distance from what they stand for.
-FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
-FULL_AS = "".join(map(chr, range(0x21, 0x7F)))
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫϹͿοϲϳνρυόύϋ"
+GREEK_AS = "ABEZHIKMNOPTYXÏŸCJocjvpuóúü"
+# Full-width and half-width forms and what they stand for. Voiced marks of half-width kana compose with what is before.
+_WIDTHS = {chr(c): chr(int(d[1], 16)) for c in range(0xFF01, 0xFFEF) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and chr(c) not in INVISIBLE}
+FULL, FULL_AS = "".join(_WIDTHS), "".join(_WIDTHS.values())
+VOICED = "\uff9e\uff9f"
 
 FROM = SPACES + CYRILLIC + GREEK + FULL
 TO = " " * len(SPACES) + CYRILLIC_AS + GREEK_AS + FULL_AS
 
 _MAP = str.maketrans(FROM, TO)
 _HIDE = str.maketrans("", "", INVISIBLE)
-_MAPPED = re.compile("[" + re.escape(FROM + INVISIBLE) + "]")
+# Ranges, because beyond the basic plane each single character of a class is one more comparison.
+_MAPPED = re.compile("[" + re.escape(FROM) + "".join(f"{chr(low)}-{chr(high)}" for low, high in _INVISIBLE) + "]")
 
 
 def tidy(text: str) -> str:
@@ -35,7 +43,7 @@ def tidy(text: str) -> str:
 
 def pieces(text: str) -> list[tuple[int, int]]:
     """[start, end) of each base character with the marks and invisible characters after it: what tidying treats alone."""
-    starts = [i for i, c in enumerate(text) if i == 0 or not (c in INVISIBLE or unicodedata.category(c)[0] == "M")]
+    starts = [i for i, c in enumerate(text) if i == 0 or not (ord(c) in _HIDE or c in VOICED or unicodedata.category(c)[0] == "M")]
     return list(zip(starts, [*starts[1:], len(text)]))
 
 

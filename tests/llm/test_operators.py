@@ -273,6 +273,18 @@ def test_tidy_and_its_sql_agree(spark):
     assert [got[i].text for i in range(len(CASES))] == list(CASES.values()) and got[99].text is None and got[99].raw_digest is None
 
 
+def test_tidy_knows_the_whole_block_invisibles_and_greek(spark):
+    cases = {
+        "￠￡￢￣￤￥￦": "¢£¬¯¦¥₩", "｟ﾃｽﾄｶﾞﾊﾟ｠｡": "⦅テストガパ⦆。", "ﾡ→￩": "ㄱ→←", "\u202ab\u2066i\u2069d\u061ci\u202c": "bidi", "❤\ufe0f葛\U000e0100": "❤葛", "a\u034f\u2063b\u3164\uffa0": "ab",
+        "νoρυ": "vopu", "cόυρ": "cóup", "ϹͿ": "CJ", "\U0001f3f4\U000e0067\U000e0062\U000e007f": "\U0001f3f4\U000e0067\U000e0062\U000e007f",
+    }
+    assert {k: tidy(k) for k in cases} == cases and {tidy(v) for v in cases.values()} == set(cases.values())
+    got = {r.doc_id: r.text for r in unify.unify(spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    text = "ｶﾞx\u2066y ﾊﾟ\ufe0f z"
+    assert leakage.words(text) == ["ガxy", "パ", "z"] and [leakage.words(text[a:b]) for a, b in leakage.stored_offsets(text)] == [["ガxy"], ["パ"], ["z"]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aé̈​ае ｅ \nй", max_size=12))
 def test_tidying_again_changes_nothing(text):

@@ -7,29 +7,44 @@ from pyspark.sql import functions as F
 
 from stavewright.operators.compaction import Table, compact
 from stavewright.sources.listing import wanted_files
-from stavewright.storage import new_path
+from stavewright.storage import materialize, new_path
 
 
-def compacted_files(spark: SparkSession, d: str) -> DataFrame:
-    """The wanted files of all sources, once each, as they lie in the compacted table.
-
-    Lands the rows to keep as they come, a file a task and source, and compacts the
-    sources that thereby have too many small files. Empty inputs give an empty result.
-    """
+def landed(spark: SparkSession, d: str) -> Table:
+    """A table of the wanted files of all sources as they came: a small file a source and month of delivery."""
     rows = wanted_files(spark.read.parquet(f"{d}/raw_files.parquet"), spark.read.parquet(f"{d}/sources.parquet"))
     table = Table(spark, new_path(spark, "files"), "source", rows.schema)
-    table.append(rows)
-    compact(table)
-    return table.read()
+    month = F.coalesce(F.year("listed_at") * 12 + F.month("listed_at"), F.lit(0))
+    rows = materialize(rows.withColumn("_month", month), "wanted")
+    low, high = rows.agg(F.coalesce(F.min("_month"), F.lit(0)), F.coalesce(F.max("_month"), F.lit(0))).first()
+    table.append(rows.repartitionById(high - low + 1, F.col("_month") - low).drop("_month"))
+    return table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return compacted_files(spark, d).select("file_id")
+    """The wanted files of all sources, once each, as they lie in the compacted table. Empty inputs give an empty result."""
+    table = landed(spark, d)
+    compact(table)
+    return table.read().select("file_id")
 
 
 def p1_files(spark: SparkSession, d: str) -> DataFrame:
     """What the compacted table holds of each source."""
-    return compacted_files(spark, d).groupBy("source").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+    table = landed(spark, d)
+    compact(table)
+    return table.read().groupBy("source").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("n_bytes"))
+
+
+def p1_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """What compaction did to each source: Parquet files before and after, whether it was rewritten, and what it holds, checksummed by file ids and by lengths of content."""
+    table = landed(spark, d)
+    before = materialize(table.files().groupBy("folder").agg(F.count("*").alias("files_before")), "before")
+    rewritten = compact(table)["rewritten"]
+    source = F.regexp_extract("folder", "=(.*)$", 1)
+    after = table.files().groupBy("folder").agg(F.count("*").alias("files_after"))
+    files = before.join(after, "folder", "full").select(source.alias("source"), "files_before", "files_after", source.isin(rewritten).alias("rewritten"))
+    held = table.read().groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("file_id").alias("sum_ids"), F.sum(F.length("content")).alias("sum_lengths"))
+    return files.join(held, "source", "full")
 
 
 # DuckDB; the catalogue's globs are restated as regular expressions by hand.
@@ -62,8 +77,14 @@ kept as (
   select * from wanted qualify row_number() over (partition by source, f order by listed_at desc nulls last, file_id desc) = 1)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_files": p1_files}
+QUERIES = {"p1_found": p1_found, "p1_files": p1_files, "p1_compaction": p1_compaction}
 ORACLES = {
     "p1_found": _WANTED + "select file_id from kept",
     "p1_files": _WANTED + "select source, count(*) as n_files, cast(sum(size_bytes) as bigint) as n_bytes from kept group by source",
+    # A source that came in more than four files is rewritten as one.
+    "p1_compaction": _WANTED + """
+, held as (select k.source, date_trunc('month', r.listed_at) as m, r.file_id, length(r.content) as n from kept k join raw_files r using (file_id)),
+per as (select source, count(distinct coalesce(m, timestamptz '1900-01-01')) as files_before, count(*) as n_rows, cast(sum(file_id) as bigint) as sum_ids, cast(sum(n) as bigint) as sum_lengths from held group by source)
+select source, files_before, case when files_before > 4 then 1 else files_before end as files_after, files_before > 4 as rewritten, n_rows, sum_ids, sum_lengths from per
+""",
 }

@@ -2,8 +2,8 @@
 
 Every intermediate result that must survive the loss of an executor is written
 to the folder named by ``spark.checkpoint.dir``, which all executors share. The
-setting is read from the session; only where it is unset (tests, a laptop) a
-private temporary folder is made.
+setting is read from the session; only where it is unset on a local master (tests, a
+laptop) a private temporary folder is made. On a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = tempfile.mkdtemp(prefix="stavewright-")

@@ -20,7 +20,7 @@ def table(spark, data, schema="id bigint, v string, p string", files=6, **more):
     return t
 
 
-DATA = [(i, f"v{i % 7}", ["a", "b", "01", None][min(i % 9, 3)]) for i in range(200)]
+DATA = [(i, f"v{i % 7}", ["a", "b c=%", "01", None][min(i % 9, 3)]) for i in range(200)]
 
 
 def test_only_partitions_with_many_small_files_are_rewritten(spark):
@@ -29,7 +29,7 @@ def test_only_partitions_with_many_small_files_are_rewritten(spark):
     before, stats = rows(t.read()), t.stats()
     report = compact(t, max_small_files=4)
     assert rows(t.read()) == before  # repeated values stay, NULL and "01" partitions too
-    assert "lonely" not in report["rewritten"] and set(report["rewritten"]) == {"a", "b", "01", None}
+    assert "lonely" not in report["rewritten"] and set(report["rewritten"]) == {"a", "b c=%", "01", None}
     assert report["files_after"] == 5 < report["files_before"]
     assert t.stats()["lonely"] == stats["lonely"]
     assert compact(t)["rewritten"] == []
@@ -42,43 +42,96 @@ def test_a_hot_partition_becomes_many_files(spark):
     assert t.stats()["hot"]["files"] in (3, 4) and t.read().count() == 400
 
 
-def test_conflicts_leave_the_table_alone(spark):
+def late_row(t, i=5000):
+    return t.spark.createDataFrame([(i, "late", "a")], t.schema)
+
+
+@pytest.mark.parametrize("step", ["claimed", "listed", "written", "checked", "decided"])
+def test_rows_appended_at_any_step_are_kept(spark, step):
     t = table(spark, DATA)
-    late = spark.createDataFrame([(5000, "late", "a")], t.schema)
-    with pytest.raises(CompactionConflict):
-        compact(t, before_commit=lambda: late.write.mode("append").partitionBy("p").parquet(t.data))
-    assert t.read().count() == 201
-    with pytest.raises(CompactionConflict):  # unregistered rows
-        compact(t)
-    t.snapshot()
-    compact(t)
-    assert t.read().count() == 201
+    before = rows(t.read())
+
+    def append(now):
+        if now == step:
+            late_row(t).write.mode("append").partitionBy("p").parquet(t.data)
+
+    compact(t, at=append)
+    assert rows(t.read()) == sorted([*before, *rows(late_row(t))])
+    t.recover()
+    assert rows(t.read()) == sorted([*before, *rows(late_row(t))])
+    assert t.stats()["a"]["files"] == (1 if step == "claimed" else 2)  # a row that came before the listing was compacted with the rest
 
 
-def test_another_writer_takes_the_version(spark):
+def test_only_chosen_partitions_are_listed_and_read(spark):
+    t = table(spark, DATA)
+    found, _ = t._rows(["p=a"])
+    assert len(found) == 1 and all("/p=a/" in x for x in found[0].inputFiles())
+
+
+def test_a_vanished_input_is_a_conflict(spark):
     t = table(spark, DATA)
     before = rows(t.read())
+
+    def vanish(now):
+        if now == "checked":
+            return
+        if now == "written":
+            fs, p = filesystem(spark, t.files(["p=a"]).first().file)
+            gone.append(p)
+            fs.rename(p, filesystem(spark, t.root + "/aside")[1])
+
+    gone = []
+    with pytest.raises(Exception):
+        compact(t, at=vanish)
+    fs, _ = filesystem(spark, t.root)
+    fs.rename(filesystem(spark, t.root + "/aside")[1], gone[0])
+    assert rows(t.read()) == before and t.log() == {1: "aborted"}
+    assert compact(t)["version"] == 2 and rows(t.read()) == before
+
+
+def test_one_compaction_at_a_time(spark):
+    t = table(spark, DATA)
+    before, seen = rows(t.read()), []
+
+    def other(step):
+        if step == "claimed":
+            with pytest.raises(CompactionConflict):
+                compact(t)
+            seen.append(step)
+
+    compact(t, at=other)
+    assert rows(t.read()) == before and seen
+
+
+def test_a_claim_without_outcome_is_aborted(spark):
+    t = table(spark, DATA)
+    before = rows(t.read())
+    # A reaper takes the writer for dead; the writer, alive, must not win.
     with pytest.raises(CompactionConflict):
-        compact(t, before_commit=t.snapshot)
-    assert rows(t.read()) == before
+        compact(t, at=lambda step: step == "checked" and t.recover())
+    assert rows(t.read()) == before and t.log() == {1: "aborted"} and not t.recover()
+    assert compact(t)["version"] == 2 and rows(t.read()) == before and t.log() == {1: "aborted", 2: "purged"}
 
 
-def test_recover_finishes_a_claimed_version(spark, monkeypatch):
+def test_readers_skip_what_was_replaced_but_not_deleted(spark):
     t = table(spark, DATA)
     before = rows(t.read())
-    real = Table.swap
+    old = t.read()
+    report = compact(t, purge=False)
+    assert report["files_after"] == 4 and rows(t.read()) == before and rows(old) == before  # the former snapshot's readers go on
+    assert t.log() == {1: "complete"} and compact(t)["rewritten"] == []
+    t.append(late_row(t))
+    assert rows(t.read()) == sorted([*before, *rows(late_row(t))])
+    assert t.recover() and t.log() == {1: "purged"} and rows(t.read()) == sorted([*before, *rows(late_row(t))])
 
-    def die(self, staging):
-        raise RuntimeError("the driver dies")
 
-    monkeypatch.setattr(Table, "swap", die)
-    with pytest.raises(RuntimeError):
-        compact(t)
-    monkeypatch.setattr(Table, "swap", real)
-    with pytest.raises(CompactionConflict):
-        compact(t)
-    assert t.recover() and not t.recover()
-    assert rows(t.read()) == before and sum(v["files"] for v in t.stats().values()) == 4
+def test_a_second_compaction_takes_in_the_first(spark):
+    t = table(spark, DATA)
+    compact(t)
+    for i in range(6):
+        t.append(late_row(t, 6000 + i))
+    before = rows(t.read())
+    assert compact(t)["rewritten"] == ["a"] and rows(t.read()) == before and t.stats()["a"]["files"] == 1 and len(before) == 206
 
 
 def test_columns_of_any_name(spark):

@@ -8,14 +8,15 @@ Candidates meet on the rare ends of their sets: under one total order of element
 (rare first) similar sets share k of their first a - ceil(t*a) + k. Each candidate
 pair then passes the pigeonring: elements fall into m segments on a ring, and if all
 m differences sum to at most H, some segment begins a chain along which every
-partial sum of l differences stays within l*H/m. The differences come from
-one-word parity sketches of the segments, which never overstate them, so no similar
-pair is lost; only pairs with such a chain get the full Hamming check.
+partial sum of l differences stays within l*H/m. The differences come from parity
+sketches of the segments, as wide as the set is large, which never overstate them, so
+no similar pair is lost; only pairs with such a chain get the full Hamming check.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,13 @@ from stavewright.storage import materialize, ship
 SEGMENTS = 16
 #: Rare elements a pair must share to be a candidate (all they need, if they need fewer). Any number is exact; more of them meet fewer strangers.
 SHARED = 4
-#: Counters of the frequency sketch that orders elements: 2^20 numbers, 4 MB, whatever the input.
-SKETCH_BITS = 20
-PAGE = 4096
-_MOST = (1 << 31) - 1
+#: The frequency sketch that orders elements has a counter of one byte for each element of the input, at most 2^25 of them: 32 MB. Beyond that the order blurs, which costs candidates and loses none.
+SKETCH_BITS = 25
+PAGE = 1 << 18
+#: Tasks whose counters one group adds up.
+FAN = 32
+#: Ids that are worked on at once, so that memory doesn't follow a batch of long rows (one sequence is one piece).
+IDS_AT_ONCE = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -40,22 +44,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(ids: np.ndarray, w: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of ``w`` ids."""
-    if len(ids) < w:
-        return np.zeros(0, dtype=np.uint64)
+def shingles(ids: np.ndarray, lengths: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences laid end to end: the sorted 64-bit hashes of each one's distinct runs of ``w`` ids, end to end, and how many each has."""
+    ends = np.cumsum(lengths)
+    runs = np.maximum(lengths - w + 1, 0)
+    if not runs.any():
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(lengths), dtype=np.int64)
     ids = ids.astype(np.int64).view(np.uint64)
     h = np.zeros(len(ids) - w + 1, dtype=np.uint64)
     for k in range(w):
         h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - w + 1 + k] + np.uint64(1)
-    return np.unique(_mix(h))
+    # A run must end where it began, within one sequence.
+    owner = np.repeat(np.arange(len(lengths)), runs)
+    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    h = _mix(h[np.arange(len(owner)) - first[owner] + (ends - lengths)[owner]])
+    for a, n in zip(first.tolist(), runs.tolist()):
+        h[a : a + n].sort()
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.bincount(owner[new], minlength=len(lengths))
 
 
-def parity_sketch(elements: np.ndarray) -> np.ndarray:
-    """A word a segment; bit b tells whether an odd number of the segment's elements hash to b."""
-    slot = (elements >> np.uint64(64 - 10)).astype(np.int64)  # 4 bits of segment, 6 of bit
-    odd = np.bincount(slot, minlength=SEGMENTS * 64).reshape(SEGMENTS, 64) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+def ring_bits(n: int) -> int:
+    """Bits of the parity sketch of a set of ``n``: a power of two, three for two elements at least. Strangers then differ in well over the budget at t >= 0.6."""
+    return max(SEGMENTS * 8, 1 << (3 * n // 2 - 1).bit_length() if n else 0)
+
+
+def parity_sketch(elements: np.ndarray, bits: int) -> bytes:
+    """``bits`` bits, segment by segment; a bit tells whether an odd number of the segment's elements hash to it."""
+    slot = (elements >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of bytes as sketches of ``bits`` bits: neighbours are added up, which parity allows."""
+    while sketch.shape[1] * 8 > bits:
+        sketch = np.packbits(np.bitwise_xor.reduce(np.unpackbits(sketch, axis=1).reshape(len(sketch), -1, 2), axis=2), axis=1)
+    return sketch
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows of SEGMENTS lower bounds: in how many elements the two sets of each row of sketches differ, by segment."""
+    bits = min(x.shape[1], y.shape[1]) * 8
+    odd = np.bitwise_count(folded(x, bits) ^ folded(y, bits))
+    return odd.reshape(len(odd), SEGMENTS, -1).sum(axis=2, dtype=np.int64)
 
 
 def pigeonring(boxes: np.ndarray, budget: np.ndarray) -> np.ndarray:
@@ -75,18 +107,27 @@ def pigeonring(boxes: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return alive.any(axis=1)
 
 
-def _arrays(batch: pa.RecordBatch, w: int) -> Iterator[tuple[int, np.ndarray]]:
-    for seq, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-        yield seq, shingles(tokens.values.fill_null(-1).to_numpy(zero_copy_only=False), w)
+def _sets(batch: pa.RecordBatch, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(seq ids, sizes, elements end to end)`` of slices of a batch that hold about IDS_AT_ONCE ids each."""
+    seqs, lists = batch.column(0).to_numpy(), batch.column(1)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(seqs):
+        start = int(ends[a] - lengths[a])
+        b = max(a + 1, int(np.searchsorted(ends, start + IDS_AT_ONCE, side="right")))
+        elements, sizes = shingles(ids[start : ends[b - 1]], lengths[a:b], w)
+        yield seqs[a:b], sizes, elements
+        a = b
 
 
 def _budget(t: float, a, b):
     return np.floor((1 - t) / (1 + t) * (a + b) + 1e-9).astype(np.int64)
 
 
-def _longs(xs: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *xs]).view(np.int64)))
+def _longs(elements: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(elements.view(np.int64)))
 
 
 def sequence_classes(sequences: DataFrame, w: int = 5) -> DataFrame:
@@ -99,8 +140,10 @@ def sequence_classes(sequences: DataFrame, w: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(seq, len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(_mix(s)).view(np.int64))) for seq, s in _arrays(batch, w)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], ["seq_id", "n", "d1", "d2"])
+            for seqs, sizes, elements in _sets(batch, w):
+                at = np.cumsum(sizes) - sizes  # every sequence has a shingle
+                columns = (seqs, sizes, np.add.reduceat(elements, at).view(np.int64), np.bitwise_xor.reduceat(_mix(elements), at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["seq_id", "n", "d1", "d2"])
 
     digests = _with_shingles(sequences, w).mapInArrow(run, "seq_id bigint, n bigint, d1 bigint, d2 bigint")
     digests = materialize(digests, "digests")
@@ -112,79 +155,101 @@ def _with_shingles(sequences: DataFrame, w: int) -> DataFrame:
     return sequences.where(f"seq_id is not null and size(tokens) >= {w}").select(F.col("seq_id").cast("bigint").alias("seq_id"), "tokens")
 
 
-def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5) -> DataFrame:
-    """``(class_a, class_b)`` of classes whose sets have Jaccard at least ``t``, smaller id first; every link, no class with itself."""
-    spark = sequences.sparkSession
-    copies = classes.where("seq_id <> class_id").select("seq_id")
-    firsts = _with_shingles(sequences, w).join(copies, "seq_id", "left_anti")
+def frequencies(sequences: DataFrame, bits: int, w: int) -> np.ndarray:
+    """2^``bits`` counters of one byte: how many sequences hold an element of that hash, 255 for any more. Never too low, so a 1 is sure."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
-            for _, s in _arrays(batch, w):
-                total[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
-        pages = np.minimum(total, _MOST).astype(np.int32).reshape(-1, PAGE)
-        some = np.flatnonzero(pages.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pages[i].tobytes() for i in some], pa.binary())], ["page", "counters"])
+            for _, _, elements in _sets(batch, w):
+                slots, n = np.unique(elements >> np.uint64(64 - bits), return_counts=True)
+                total[slots.astype(np.int64)] += n.astype(np.int32)
+        pages = np.minimum(total, 255).astype(np.uint8).reshape(-1, min(PAGE, 1 << bits))
+        for i in np.flatnonzero(pages.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(pages[i].tobytes(), 1)], pa.binary())], ["page", "counters"])
 
     def add(pages: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in pages["counters"])
-        return pa.table({"page": pages["page"][:1], "task": pages["task"][:1], "counters": pa.array([np.minimum(total, _MOST).astype(np.int32).tobytes()], pa.binary())})
-
-    # Pages of counters, one set a task, are added up as a tree, so no group is as large as the number of tasks;
-    # the driver gets 4 MB in a few hundred rows.
-    counted = firsts.mapInArrow(count, "page bigint, counters binary").withColumn("task", F.spark_partition_id())
-    for width in (4096, 64, 1):
-        counted = counted.withColumn("task", F.col("task") % width).groupBy("page", "task").applyInArrow(add, "page bigint, task int, counters binary")
-    sketch = np.zeros(((1 << SKETCH_BITS) // PAGE, PAGE), dtype=np.int32)
-    for r in counted.collect():
-        sketch[r.page] = np.frombuffer(r.counters, dtype=np.int32)
-    sketch = sketch.ravel()
-    frequency = spark.sparkContext.broadcast(sketch)
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8).astype(np.int32) for x in pages["counters"])
+        return pa.table({"page": pages["page"][:1], "task": pages["task"][:1], "counters": pa.array([zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)], pa.binary())})
+
+    # One set of pages a task, added up as a tree, so no group is as large as the number of tasks; the driver gets the sum.
+    counted = materialize(sequences.mapInArrow(count, "page bigint, counters binary").withColumn("task", F.spark_partition_id()), "counted")
+    tasks = (counted.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        counted = counted.withColumn("task", F.call_function("div", "task", F.lit(FAN)).cast("int")).groupBy("page", "task").applyInArrow(add, "page bigint, task int, counters binary")
+        tasks = -(-tasks // FAN)
+    sketch = np.zeros((max(1, (1 << bits) // PAGE), min(PAGE, 1 << bits)), dtype=np.uint8)
+    for r in counted.toLocalIterator():
+        sketch[r.page] = np.frombuffer(zlib.decompress(r.counters), dtype=np.uint8)
+    return sketch.ravel()
+
+
+def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5) -> DataFrame:
+    """``(class_a, class_b)`` of classes whose sets have Jaccard at least ``t``, smaller id first; every link, no class with itself."""
+    spark = sequences.sparkSession
+    copies = classes.where("seq_id <> class_id").select("seq_id")
+    firsts = _with_shingles(sequences, w).join(copies, "seq_id", "left_anti")
+    total = classes.where("seq_id = class_id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(SKETCH_BITS, max(8, (total - 1).bit_length()))
+    frequency = spark.sparkContext.broadcast(frequencies(firsts, bits, w))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequency.value
+        counters = frequency.value
         for batch in batches:
-            sig, ids, sizes, places = [], [], [], []
-            for seq, s in _arrays(batch, w):
-                keep = len(s) - math.ceil(t * len(s) - 1e-9) + SHARED
-                order = np.argsort(often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]  # s is sorted: ties go by hash
-                sig.append(s[order].view(np.int64))
-                ids.append(np.full(len(order), seq, dtype=np.int64))
-                sizes.append(np.full(len(order), len(s), dtype=np.int32))
-                places.append(np.arange(len(order), dtype=np.int32))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, ids, sizes, places)], ["sig", "seq", "n", "place"])
-
-    signed = firsts.mapInArrow(sign, "sig bigint, seq bigint, n int, place int")
+            for seqs, sizes, elements in _sets(batch, w):
+                often = counters[(elements >> np.uint64(64 - bits)).astype(np.int64)]
+                rows, places, owners, rings, at = [], [], [], [], 0
+                for i, n in enumerate(sizes.tolist()):
+                    mine = often[at : at + n]
+                    order = np.argsort(mine, kind="stable")[: n - math.ceil(t * n - 1e-9) + SHARED]  # sorted by hash: so ties go
+                    alone = int(np.searchsorted(mine[order], 1, side="right"))  # nobody else has these: they meet nobody
+                    rows.append(order[alone:] + at)
+                    places.append(np.arange(alone, len(order), dtype=np.int32))
+                    owners.append(len(order) - alone)
+                    rings.append(parity_sketch(elements[at : at + n], ring_bits(n)))
+                    at += n
+                sig = np.append(elements[np.concatenate(rows)].view(np.int64), np.zeros(len(seqs), dtype=np.int64))
+                # Rows with a sketch and no signature: one a sequence.
+                columns = (
+                    pa.array(sig), pa.array(np.append(np.repeat(seqs, owners), seqs)), pa.array(np.append(np.repeat(sizes, owners), sizes).astype(np.int32)),
+                    pa.array(np.append(np.concatenate(places), np.full(len(seqs), -1, dtype=np.int32))), pa.array([None] * sum(owners) + rings, pa.binary()),
+                )
+                yield pa.RecordBatch.from_arrays(list(columns), ["sig", "seq", "n", "place", "ring"])
+
+    # Signatures and sketches of one pass over the sequences, written once.
+    made = materialize(firsts.mapInArrow(sign, "sig bigint, seq bigint, n int, place int, ring binary").withColumn("kind", (F.col("place") < 0).cast("int")), "signed", "kind")
+    signed = made.where("kind = 0").select("sig", "seq", "n", "place")
+    rings = made.where("kind = 1").select("seq", "n", "ring")
     a, b = signed.alias("a"), signed.alias("b")
     # Sizes must be near enough, and what lies before and after the shared element must allow the overlap.
     overlap = f"{t / (1 + t)} * (a.n + b.n) - 1e-6"
     near = f"""a.sig = b.sig AND a.seq < b.seq AND least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9
         AND least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {overlap}"""
     met = a.join(b, F.expr(near)).groupBy(F.col("a.seq").alias("class_a"), F.col("b.seq").alias("class_b")).agg(F.count("*").alias("shared"), F.max(F.expr(f"least({SHARED}, ceil({overlap}))")).alias("least"))
-    candidates = materialize(met.where("shared >= least").select("class_a", "class_b"), "candidates")
-    needed = materialize(candidates.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct(), "needed")
+    candidates = met.where("shared >= least").select("class_a", "class_b")
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(_arrays(batch, w))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), _longs([parity_sketch(r[1]) for r in rows]), _longs([r[1] for r in rows])], ["seq", "n", "ring", "elements"])
-
-    described = materialize(firsts.join(needed, "seq_id", "left_semi").mapInArrow(describe, "seq bigint, n bigint, ring array<bigint>, elements array<bigint>"), "described")
-
-    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+    def both(pairs: DataFrame, described: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(described.select(F.col("seq").alias(f"class_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns]), f"class_{side}")
         return pairs
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, SEGMENTS) for c in ("ring_a", "ring_b"))
             budget = _budget(t, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            kept = pigeonring(np.bitwise_count(x ^ y).astype(np.int64), budget)
+            ring_a, ring_b = batch.column("ring_a"), batch.column("ring_b")
+            widths = np.stack([np.diff(np.frombuffer(r.buffers()[1], dtype=np.int32)[r.offset : r.offset + len(r) + 1]) for r in (ring_a, ring_b)])
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for wide in np.unique(widths, axis=1).T.tolist():
+                some = np.flatnonzero((widths[0] == wide[0]) & (widths[1] == wide[1]))
+                x, y = (np.frombuffer(b"".join(r.take(pa.array(some)).to_pylist()), dtype=np.uint8).reshape(len(some), -1) for r in (ring_a, ring_b))
+                kept[some] = pigeonring(differences(x, y), budget[some])
             yield batch.select(["class_a", "class_b"]).filter(pa.array(kept))
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seqs, sizes, elements in _sets(batch, w):
+                yield pa.RecordBatch.from_arrays([pa.array(seqs), _longs(elements, sizes)], ["seq", "elements"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -194,8 +259,10 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
                 kept.append(common / (len(x) + len(y) - common) >= t)
             yield batch.select(["class_a", "class_b"]).filter(pa.array(kept, pa.bool_()))
 
-    pruned = both(candidates, "n", "ring").mapInArrow(chain, "class_a bigint, class_b bigint")
-    return both(pruned, "elements").mapInArrow(verify, "class_a bigint, class_b bigint")
+    pruned = materialize(both(candidates, rings, "n", "ring").mapInArrow(chain, "class_a bigint, class_b bigint"), "pruned")
+    needed = pruned.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct()
+    elements = materialize(firsts.join(needed, "seq_id", "left_semi").mapInArrow(describe, "seq bigint, elements array<bigint>"), "elements")
+    return both(pruned, elements, "elements").mapInArrow(verify, "class_a bigint, class_b bigint")
 
 
 def similar_classes(sequences: DataFrame, t: float = 0.8, w: int = 5) -> tuple[DataFrame, DataFrame]:

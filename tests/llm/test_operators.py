@@ -101,10 +101,35 @@ def test_pigeonring_never_loses_what_is_within_the_budget(boxes, budget):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=600))
 def test_sketches_never_overstate(a, b):
-    x, y = (neardup.parity_sketch(np.array(sorted(s), dtype=np.uint64)) for s in (a, b))
-    assert int(np.bitwise_count(x ^ y).sum()) <= len(a ^ b)
+    rows = [np.frombuffer(neardup.parity_sketch(np.array(sorted(s), dtype=np.uint64), neardup.ring_bits(len(s))), dtype=np.uint8)[None] for s in (a, b)]
+    assert int(neardup.differences(*rows).sum()) <= len(a ^ b)
+
+
+@pytest.mark.parametrize("n", [200, 1000, 2000, 9000, 60000])
+def test_the_ring_prunes_strangers_of_any_size(n):
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 2**64, n + rng.integers(0, n // 3), dtype=np.uint64)) for _ in range(20)]
+    sketches = [np.frombuffer(neardup.parity_sketch(s, neardup.ring_bits(len(s))), dtype=np.uint8)[None] for s in sets]
+    kept = 0
+    for i in range(0, 20, 2):
+        budget = neardup._budget(0.6, np.array([len(sets[i])]), np.array([len(sets[i + 1])]))
+        kept += int(neardup.pigeonring(neardup.differences(sketches[i], sketches[i + 1]), budget)[0])
+    assert kept == 0
+    near = np.unique(np.concatenate([sets[0][: 9 * n // 10], sets[1][: n // 10]]))
+    sketch = np.frombuffer(neardup.parity_sketch(near, neardup.ring_bits(len(near))), dtype=np.uint8)[None]
+    wide = len(np.setxor1d(sets[0], near))
+    assert neardup.pigeonring(neardup.differences(sketches[0], sketch), np.array([wide]))[0]
+
+
+@pytest.mark.parametrize("w", [1, 3, 5])
+def test_shingles_of_sequences_laid_end_to_end(w):
+    r = random.Random(w)
+    rows = [[r.randint(0, 3) for _ in range(r.choice([0, 1, 4, 5, 6, 40]))] for _ in range(60)]
+    elements, sizes = neardup.shingles(np.array([x for y in rows for x in y]), np.array([len(x) for x in rows]), w)
+    assert sizes.tolist() == [len({tuple(x[i : i + w]) for i in range(len(x) - w + 1)}) for x in rows]
+    assert len({h for h in elements.tolist()}) == len({tuple(x[i : i + w]) for x in rows for i in range(len(x) - w + 1)})
 
 
 # --- splits ---------------------------------------------------------------------------------------------------------

@@ -4,7 +4,8 @@ A member that must contribute T tokens and has S is taken floor(T / S) times in
 (at most ``max_repeats``), and the rest by balanced sampling: every sequence has the
 inclusion probability that is left over, and the cube method moves these
 probabilities through the null space of two constraints, the tokens and the number
-of documents, until all but a few are 0 or 1. Only those few are then rounded.
+of documents, until all but a few are 0 or 1. Only those few are then rounded, along
+the one constraint of tokens.
 """
 
 from __future__ import annotations
@@ -81,15 +82,23 @@ def flight(p: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray
         held = [i for i in held if 0 < p[i] < 1]
 
 
-def land(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Round the few that are left: keep their number as far as it is whole, then draw the last."""
+def land(p: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Round the few that are left: the number of documents is let go first, the tokens last.
+
+    Two undecided units still span a direction that keeps their tokens, (n_b, -n_a);
+    along it one is decided. Only the last one is drawn, so the tokens are off by less
+    than that one unit.
+    """
     p = p.copy()
     left = [i for i in range(len(p)) if _SURE < p[i] < 1 - _SURE]
     while len(left) > 1:
         a, b = left[:2]
-        up, down = min(1 - p[a], p[b]), min(p[a], 1 - p[b])
+        u = (float(n[b]), -float(n[a])) if n[a] or n[b] else (1.0, -1.0)
+        up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip((a, b), u) if x)
+        down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip((a, b), u) if x)
         step = up if rng.random() * (up + down) < down else -down
-        p[a], p[b] = p[a] + step, p[b] - step
+        for i, x in zip((a, b), u):
+            p[i] = min(1.0, max(0.0, p[i] + step * x))
         left = [i for i in left if _SURE < p[i] < 1 - _SURE]
     for i in left:
         p[i] = float(rng.random() < p[i])
@@ -102,7 +111,7 @@ def _decide(units: DataFrame, blocks: Column, last: bool, seed: int, turn: int)
         pdf = pdf.sort_values(["n", "seq_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, turn, int(key[0]), int(key[2]), *str(key[1]).encode()])
         p = flight(pdf["p"].to_numpy(), pdf["n"].to_numpy(), rng)
-        return pdf.assign(p=land(p, rng) if last else p)[["mix_id", "member", "seq_id", "n", "p", "blocks"]]
+        return pdf.assign(p=land(p, pdf["n"].to_numpy(), rng) if last else p)[["mix_id", "member", "seq_id", "n", "p", "blocks"]]
 
     salted = units.withColumn("block", F.pmod(F.xxhash64("seq_id", F.lit(seed + turn)), blocks))
     return salted.groupBy("mix_id", "member", "block").applyInPandas(run, "mix_id int, member string, seq_id bigint, n bigint, p double, blocks bigint")
@@ -115,7 +124,9 @@ def mix(targets: DataFrame, members: DataFrame, *, block: int = 8192, seed: int
     budget_tokens``; ``members`` as from :func:`member_sequences`. ``selection``:
     ``mix_id, member, seq_id, n, copies`` (only copies above 0). ``report``: a row a
     target with ``n_docs, n_tokens`` (the member's size), ``used_tokens``,
-    ``actual_share`` (of the mix as it came out; NULL if that is empty), ``reachable``.
+    ``actual_share`` (of the mix as it came out; NULL if that is empty), ``reachable``,
+    ``mix_tokens`` and ``short_tokens`` (what the whole mix has, and lacks of its
+    budget: what members lack that can't reach their share isn't given to others).
 
     A member that isn't in ``members`` has size 0. A member that can't reach its share
     is used ``max_repeats`` times in full. NULL shares, budgets or repeats count as 0.
@@ -163,5 +174,5 @@ def mix(targets: DataFrame, members: DataFrame, *, block: int = 8192, seed: int
     selection = materialize(selection, "selection")
     used = selection.groupBy("mix_id", "member").agg(F.sum(F.col("n") * F.col("copies")).alias("used_tokens"))
     total = selection.groupBy("mix_id").agg(F.sum(F.col("n") * F.col("copies")).alias("mix_tokens"))
-    report = plan.join(used, ["mix_id", "member"], "left").join(total, "mix_id", "left").fillna({"used_tokens": 0}).withColumn("actual_share", F.try_divide(F.col("used_tokens"), F.col("mix_tokens")))
-    return selection, report.select("mix_id", "by_field", "member", "target_share", "max_repeats", "budget_tokens", "n_docs", "n_tokens", "used_tokens", "actual_share", "reachable")
+    report = plan.join(used, ["mix_id", "member"], "left").join(total, "mix_id", "left").fillna({"used_tokens": 0, "mix_tokens": 0}).withColumn("short_tokens", F.col("budget_tokens") - F.col("mix_tokens")).withColumn("actual_share", F.try_divide(F.col("used_tokens").cast("double"), F.col("mix_tokens").cast("double")))
+    return selection, report.select("mix_id", "by_field", "member", "target_share", "max_repeats", "budget_tokens", "n_docs", "n_tokens", "used_tokens", "actual_share", "reachable", "mix_tokens", "short_tokens")

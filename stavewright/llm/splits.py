@@ -127,7 +127,9 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame,
     labels = materialize(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     live = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "u", "v")
     forest = []
-    for turn in range(max_rounds):
+    for turn in range(max_rounds + 1):
+        if turn == max_rounds:
+            raise RuntimeError(f"components still contract after {max_rounds} rounds")
         ends = live.select("a", "b", "u", "v").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "u", "v"))
         chosen = materialize(ends.groupBy("a").agg(F.min(F.struct("u", "v", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.u").alias("u"), F.col("m.v").alias("v")), f"chosen{turn}")
         if chosen.isEmpty():
@@ -169,30 +171,52 @@ def groups(scores: DataFrame) -> DataFrame:
 
 
 def deal(grouped: DataFrame, shares: dict[str, float], seed: int = 7) -> DataFrame:
-    """``(score_id, group_id, split)``: whole groups dealt to ``shares`` (name to proportion).
-
-    Groups are stratified by size (powers of two) and dealt within each band in a
-    seeded order, every 1/share-th to a split, so each split gets its share of groups
-    of any size. Ranks within a band come from range partitions: the band of single
-    rows is as large as the table. A group larger than a split's whole share can't be
-    cut; shares really reached are the caller's to count.
+    """``(score_id, group_id, split)``: whole groups dealt to ``shares`` (name to proportion of the rows).
+
+    Groups are stratified by size (bands of powers of two), and bands dealt from the
+    largest sizes down. Within a band every 1/share-th group in a seeded order goes to a
+    split; a band's shares are what the splits still lack, in rows, so small groups make
+    good what larger ones missed. Every split gets groups of all sizes it has room for
+    and is off in the end by about one group of the smallest size, unless few groups
+    hold most rows: one larger than what any split lacks goes where most is missing.
+    Ranks within a band come from range partitions: the band of single rows is as large
+    as the table. The driver sees three numbers a band.
     """
-    names, left = list(shares), 1.0
+    names = list(shares)
     if not names or abs(sum(shares.values()) - 1) > 1e-9 or min(shares.values()) < 0:
         raise ValueError("shares must be proportions that sum to 1")
+    spark = grouped.sparkSession
     sizes = grouped.groupBy("group_id").agg(F.count("*").alias("size")).withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("order", F.xxhash64("group_id", F.lit(seed)))
-    ranked = prefix_sums(sizes, ["band"], ["order", "group_id"], F.lit(1), "rank")
-    # Systematic dealing: the first name takes every 1/share-th; the next does so among those that are left, and so on.
-    split, rest = F.lit(names[-1]), F.col("rank")
-    taken = []
-    for i, name in enumerate(names[:-1]):
-        start = ((seed + i) * 0.6180339887498949) % 1.0  # where in its first interval a split begins
-        share = min(1.0, shares[name] / left) if left > 1e-12 else 0.0
-        upto = F.floor((rest + 1) * share + start) - F.floor(F.lit(start))
-        before = F.floor(rest * share + start) - F.floor(F.lit(start))
-        taken.append((upto > before, name))
-        rest, left = rest - before, left - shares[name]
-    for mine, name in reversed(taken):
-        split = F.when(mine, F.lit(name)).otherwise(split)
-    dealt = ranked.select("group_id", split.alias("split"))
+    ranked = materialize(prefix_sums(sizes, ["band"], ["order", "group_id"], F.lit(1), "rank"), "ranked", "band")
+    bands = ranked.groupBy("band").agg(F.sum("size").alias("rows"), F.count("*").alias("groups")).orderBy(F.desc("band")).collect()  # a row a power of two
+    total, plan = sum(r.rows for r in bands), []
+    lack = {x: shares[x] * total for x in names}
+    for r in bands:
+        # Who has room for a group of this size; if nobody has, who lacks most.
+        room = {x: n for x, n in lack.items() if n >= 1 << r.band} or {max(names, key=lack.get): 1.0}
+        mine = {x: room.get(x, 0.0) / sum(room.values()) for x in names}
+        plan.append((r.band, [mine[x] for x in names]))
+        got = _systematic(ranked.where(F.col("band") == r.band), spark.createDataFrame(plan[-1:], "b int, q array<double>"), names, seed).groupBy("split").agg(F.sum("size").alias("rows")).collect()
+        for x in got:
+            lack[x.split] -= x.rows
+    dealt = _systematic(ranked, spark.createDataFrame(plan, "b int, q array<double>"), names, seed).select("group_id", "split")
     return grouped.join(dealt, "group_id").select("score_id", "group_id", "split")
+
+
+def _systematic(ranked: DataFrame, plan: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """Adds ``split``: by its rank, a group falls on one of the marks that a band's shares ``q`` set in even steps.
+
+    The first name takes every 1/share-th group, from a place within its first interval;
+    the next does so among those that are left, and so on; the last takes the rest.
+    """
+    ranked = ranked.join(F.broadcast(plan), F.col("band") == F.col("b"))  # a row a band
+    rest, left, split, free = F.col("rank").cast("double"), F.lit(1.0), F.lit(None).cast("string"), F.lit(True)
+    for i, name in enumerate(names[:-1]):
+        start = F.lit(((seed + i) * 0.6180339887498949) % 1.0)
+        q = F.get("q", F.lit(i))
+        share = F.when(left > 1e-12, F.least(q / left, F.lit(1.0))).otherwise(0.0)
+        before = F.floor(rest * share + start)
+        taken = free & (F.floor((rest + 1) * share + start) > before)
+        split = F.when(taken, F.lit(name)).otherwise(split)
+        free, rest, left = free & ~taken, rest - before, left - q
+    return ranked.withColumn("split", F.coalesce(split, F.lit(names[-1])))

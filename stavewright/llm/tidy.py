@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 # Fixed values. Characters that show nothing: soft hyphen, joiners, zero-width spaces, fillers, marks, embeddings and
@@ -13,25 +14,59 @@ _INVISIBLE = [
     (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF9, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0001, 0xE0001), (0xE0100, 0xE01EF),
 ]
 INVISIBLE = "".join(chr(c) for low, high in _INVISIBLE for c in range(low, high + 1))
-# Spaces that must not break a line (plain, figure, narrow), and the full-width one: an ordinary space.
-SPACES = "   　"
-# Cyrillic and Greek letters, and the Latin ones they look like.
+# Spaces of any width that separate words as an ordinary one does; not those that end a line.
+SPACES = "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
+# Cyrillic, Greek, Armenian and phonetic letters, and the Latin ones they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХЁЇЀӒӦаеѕіјорсухһԁԛԝёїѐӓӧ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXËÏÈÄÖaesijopcyxhdqwëïèäö"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫϹͿοϲϳνρυόύϋ"
-GREEK_AS = "ABEZHIKMNOPTYXÏŸCJocjvpuóúü"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΪΫϹͿοϲϳνρυόύϋαγικάίϊ"
+GREEK_AS = "ABEZHIKMNOPTYXÏŸCJocjvpuóúüayikáíï"
+OTHER = "ӏӀօսհոɑɡı"
+OTHER_AS = "lIouhnagi"
 # Full-width and half-width forms and what they stand for. Voiced marks of half-width kana compose with what is before.
 _WIDTHS = {chr(c): chr(int(d[1], 16)) for c in range(0xFF01, 0xFFEF) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and chr(c) not in INVISIBLE}
 FULL, FULL_AS = "".join(_WIDTHS), "".join(_WIDTHS.values())
 VOICED = "\uff9e\uff9f"
 
-FROM = SPACES + CYRILLIC + GREEK + FULL
-TO = " " * len(SPACES) + CYRILLIC_AS + GREEK_AS + FULL_AS
+FROM = SPACES + CYRILLIC + GREEK + OTHER + FULL
+TO = " " * len(SPACES) + CYRILLIC_AS + GREEK_AS + OTHER_AS + FULL_AS
 
-_MAP = str.maketrans(FROM, TO)
+_BASE = str.maketrans(FROM, TO)
+
+
+def _compatible() -> dict[str, str]:
+    """What other compatibility forms stand for, by Unicode's own decompositions: styles of a letter, ligatures, letters that double as signs.
+
+    Forms that look different stay: superscripts, circled and squared characters, fractions, an ellipsis. So do single jamo, which would join into syllables.
+    """
+    out = {}
+    for c in map(chr, [*range(0x80, 0x3131), *range(0x3190, sys.maxunicode + 1)]):
+        kind = unicodedata.decomposition(c).split(">")[0]
+        plain = unicodedata.normalize("NFKC", c)
+        if kind in ("<font", "<compat", "<noBreak", "<small") and c not in FROM and c not in INVISIBLE and (len(plain) == 1 and not unicodedata.category(plain)[0] in "ZM" or len(plain) > 1 and plain.isalpha()):
+            out[c] = plain.translate(_BASE)
+    return out
+
+
+_COMPATIBLE = _compatible()
+SINGLE = {c: x for c, x in _COMPATIBLE.items() if len(x) == 1}
+LIGATURES = {c: x for c, x in _COMPATIBLE.items() if len(x) > 1}
+
+
+def _ranges(chars) -> str:
+    """The inside of a character class. Ranges, because beyond the basic plane each single character is one more comparison."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+_MAP = _BASE | {ord(c): x for c, x in _COMPATIBLE.items()}
 _HIDE = str.maketrans("", "", INVISIBLE)
-# Ranges, because beyond the basic plane each single character of a class is one more comparison.
-_MAPPED = re.compile("[" + re.escape(FROM) + "".join(f"{chr(low)}-{chr(high)}" for low, high in _INVISIBLE) + "]")
+_MAPPED = re.compile(f"[{_ranges(FROM + INVISIBLE + ''.join(_COMPATIBLE))}]")
 
 
 def tidy(text: str) -> str:
@@ -48,7 +83,15 @@ def pieces(text: str) -> list[tuple[int, int]]:
 
 
 def tidy_sql(column: str) -> str:
-    """The same steps in DuckDB's SQL."""
+    """The same steps in DuckDB's SQL. The long tables are consulted by texts that need them."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    visible = f"regexp_replace({column}, '[{INVISIBLE}]', '', 'g')"
-    return f"CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE nfc_normalize(translate(nfc_normalize({visible}), {quote(FROM)}, {quote(TO)})) END"
+    plain = f"nfc_normalize(regexp_replace({column}, '[{_ranges(INVISIBLE)}]', '', 'g'))"
+    split = plain
+    for c, x in LIGATURES.items():
+        split = f"replace({split}, {quote(c)}, {quote(x)})"
+    split = f"CASE WHEN regexp_matches({column}, '[{_ranges(LIGATURES)}]') THEN {split} ELSE {plain} END"
+    mapped = (
+        f"CASE WHEN regexp_matches({column}, '[{_ranges(_COMPATIBLE)}]') THEN translate({split}, {quote(FROM + ''.join(SINGLE))}, {quote(TO + ''.join(SINGLE.values()))})"
+        f" ELSE translate({plain}, {quote(FROM)}, {quote(TO)}) END"
+    )
+    return f"CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE nfc_normalize({mapped}) END"

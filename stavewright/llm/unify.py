@@ -22,10 +22,10 @@ def _through_duckdb(select: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for batch in batches:
             rows = pa.Table.from_batches([batch])  # noqa: F841 (DuckDB reads it by name)
-            yield from db.execute(f"SELECT {select} FROM rows").to_arrow_table().cast(schema).to_batches()
+            yield from db.sql(f"SELECT {select} FROM rows").to_arrow_table().cast(schema).to_batches()
         db.close()
 
     return run
@@ -36,7 +36,8 @@ def unify(documents: DataFrame, keep_text: bool = True) -> DataFrame:
 
     NULL text stays NULL with NULL digests, empty text stays empty. Case, line breaks
     and ordinary spaces and punctuation stay. Columns other than ``doc_id`` and
-    ``text`` are left behind; without ``keep_text`` the form is too.
+    ``text`` are left behind; without ``keep_text`` the form is too. The form is meant
+    for comparing: words of another script that are spelt with look-alikes change too.
     """
     ship(documents.sparkSession)
     form = tidy_sql("text")
@@ -47,15 +48,35 @@ def unify(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, kinds)
 
 
+def _mixed(documents: DataFrame) -> DataFrame:
+    """``(doc_id, raw_digest, form_digest)`` of the texts whose form is spelt in more than one way."""
+    digests = materialize(unify(documents.where("text is not null and text <> '' and doc_id is not null"), keep_text=False), "forms")
+    mixed = digests.groupBy("form_digest").agg(F.min("raw_digest").alias("lo"), F.max("raw_digest").alias("hi")).where("lo <> hi").select("form_digest")
+    return materialize(digests.join(mixed, "form_digest", "left_semi").distinct(), "mixed")
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """``(doc_id, class_id, spelling_id)``: a row a document, so copies are never expanded into pairs.
+
+    Documents of one ``class_id`` (its smallest ``doc_id``) have one consistent form,
+    those of one ``spelling_id`` (the smallest ``doc_id`` with that text) are exact
+    copies; any two spellings of a class are a link. Forms with a single spelling,
+    empty and NULL texts and NULL ids are left out.
+    """
+    rows = _mixed(documents)
+    forms = rows.groupBy("form_digest").agg(F.min("doc_id").alias("class_id"))
+    spellings = rows.groupBy("form_digest", "raw_digest").agg(F.min("doc_id").alias("spelling_id"))
+    return rows.join(spellings, ["form_digest", "raw_digest"]).join(forms, "form_digest").select("doc_id", "class_id", "spelling_id")
+
+
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """``(doc_a, doc_b)``: non-empty texts that differ as stored but have one consistent form.
 
     Forms with a single stored spelling, whatever the number of its copies, are left
     out by an aggregate before any pairing, so exact copies meet nobody. The pairs of
-    the rest are the result itself. NULL ids pair with nobody.
+    the rest are the result itself; :func:`lookalike_classes` says the same in a row a
+    document. Repeated rows count once. NULL ids pair with nobody.
     """
-    digests = materialize(unify(documents.where("text is not null and text <> '' and doc_id is not null"), keep_text=False), "forms")
-    mixed = digests.groupBy("form_digest").agg(F.min("raw_digest").alias("lo"), F.max("raw_digest").alias("hi")).where("lo <> hi").select("form_digest")
-    rows = materialize(digests.join(mixed, "form_digest", "left_semi"), "mixed")
+    rows = _mixed(documents)
     a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, F.expr("a.form_digest = b.form_digest AND a.raw_digest <> b.raw_digest AND a.doc_id < b.doc_id")).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).distinct()
+    return a.join(b, F.expr("a.form_digest = b.form_digest AND a.raw_digest <> b.raw_digest AND a.doc_id < b.doc_id")).select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))

@@ -40,7 +40,7 @@ def _compatible() -> dict[str, str]:
     Forms that look different stay: superscripts, circled and squared characters, fractions, an ellipsis. So do single jamo, which would join into syllables.
     """
     out = {}
-    for c in map(chr, [*range(0x80, 0x3131), *range(0x3190, sys.maxunicode + 1)]):
+    for c in map(chr, [*range(0x80, 0x3131), *range(0x3190, 0x4E00), *range(0xF900, 0x10000), *range(0x1D400, 0x1FC00)]):  # where there are any
         kind = unicodedata.decomposition(c).split(">")[0]
         plain = unicodedata.normalize("NFKC", c)
         if kind in ("<font", "<compat", "<noBreak", "<small") and c not in FROM and c not in INVISIBLE and (len(plain) == 1 and not unicodedata.category(plain)[0] in "ZM" or len(plain) > 1 and plain.isalpha()):
@@ -64,26 +64,37 @@ def _ranges(chars) -> str:
     return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
 
 
-_MAP = _BASE | {ord(c): x for c, x in _COMPATIBLE.items()}
-_HIDE = str.maketrans("", "", INVISIBLE)
-_MAPPED = re.compile(f"[{_ranges(FROM + INVISIBLE + ''.join(_COMPATIBLE))}]")
+_MAP = {chr(c): chr(x) for c, x in _BASE.items()} | _COMPATIBLE
+_HIDDEN = frozenset(INVISIBLE)
+_SPECIAL = _HIDDEN | _MAP.keys()
 
 
 def tidy(text: str) -> str:
     """Invisible characters out, accents composed, look-alikes replaced, composed again."""
-    if text.isascii() or not (_MAPPED.search(text) or not unicodedata.is_normalized("NFC", text)):
+    # A text has few different characters, however long: they are looked up, not its places.
+    if text.isascii() or (_SPECIAL.isdisjoint(seen := set(text)) and unicodedata.is_normalized("NFC", text)):
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(_HIDE)).translate(_MAP))
+    for c in seen & _HIDDEN:
+        text = text.replace(c, "")
+    text = unicodedata.normalize("NFC", text)
+    for c in set(text) & _MAP.keys():  # what they become is never mapped itself
+        text = text.replace(c, _MAP[c])
+    return unicodedata.normalize("NFC", text)
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
     """[start, end) of each base character with the marks and invisible characters after it: what tidying treats alone."""
-    starts = [i for i, c in enumerate(text) if i == 0 or not (ord(c) in _HIDE or c in VOICED or unicodedata.category(c)[0] == "M")]
+    starts = [i for i, c in enumerate(text) if i == 0 or not (c in _HIDDEN or c in VOICED or unicodedata.category(c)[0] == "M")]
     return list(zip(starts, [*starts[1:], len(text)]))
 
 
+def _unsettled() -> list[str]:
+    """Characters whose presence means that a text may not be in normal form C: those that never are, and those that may join what is before."""
+    return [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M" or "\u1161" <= c <= "\u11ff" or not unicodedata.is_normalized("NFC", c)]
+
+
 def tidy_sql(column: str) -> str:
-    """The same steps in DuckDB's SQL. The long tables are consulted by texts that need them."""
+    """The same steps in DuckDB's SQL. A text without any character that they could touch is left as it is."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     plain = f"nfc_normalize(regexp_replace({column}, '[{_ranges(INVISIBLE)}]', '', 'g'))"
     split = plain
@@ -94,4 +105,4 @@ def tidy_sql(column: str) -> str:
         f"CASE WHEN regexp_matches({column}, '[{_ranges(_COMPATIBLE)}]') THEN translate({split}, {quote(FROM + ''.join(SINGLE))}, {quote(TO + ''.join(SINGLE.values()))})"
         f" ELSE translate({plain}, {quote(FROM)}, {quote(TO)}) END"
     )
-    return f"CASE WHEN strlen({column}) = length({column}) THEN {column} ELSE nfc_normalize({mapped}) END"
+    return f"CASE WHEN regexp_matches({column}, '[{_ranges({*_SPECIAL, *_unsettled()})}]') THEN nfc_normalize({mapped}) ELSE {column} END"

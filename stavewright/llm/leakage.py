@@ -1,73 +1,104 @@
 """Problem 8: passages of evaluation items inside documents.
 
-One Aho-Corasick automaton holds every run of ``k`` words of the items, as word
-numbers. Each document is tidied, lowered, cut into words and scanned once. Offsets
-are computed for documents with hits only, in the text as stored.
+An Aho-Corasick automaton holds the items as chunks of (k+1)/2 words, side by side:
+any ``k`` words in a row of an item contain one of its chunks whole. Each document is
+tidied, lowered, cut into words and read once; a chunk that is met is extended to both
+sides for as long as document and item agree, and ``k`` words or more are a leak.
+Chunks side by side make as many states as the items have words. Offsets are computed
+for documents with hits only, in the text as stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavewright.llm.tidy import pieces, tidy
-from stavewright.operators.ranking import prefix_sums
 from stavewright.storage import ship
 
 _WORD = re.compile(r"[^\W_]+")
+# What separates words of plain text, as a table: far quicker than the expression.
+_APART = {c: " " for c in range(128) if not chr(c).isalnum()}
 
-#: The automaton is broadcast, so its size must be known: items are taken in blocks of about so many characters, one scan a block.
-BLOCK_CHARS = 1 << 20
+#: Characters of items in one automaton: what a worker has in memory at a time. Items beyond that fill further automata; documents are read once all the same.
+BLOCK_CHARS = 8 << 20
+#: Words of documents that wait for all automata to pass over them.
+SPOOL_WORDS = 8 << 20
 
 
 def words(text: str) -> list[str]:
     """Maximal runs of letters and digits of the tidied text, case ignored."""
+    if text.isascii():
+        return text.lower().translate(_APART).split()
     return _WORD.findall(tidy(text).lower())
 
 
 class Passages:
-    """The automaton over the items' runs of ``k`` words."""
+    """The automaton over a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         import ahocorasick
 
         self.k = k
+        self.chunk = (k + 1) // 2
         self.number: dict[str, int] = {}
-        runs: dict[tuple[int, ...], set[int]] = {}
+        self.items: list[tuple[int, tuple[int, ...]]] = []
+        chunks: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words(text))
-            for i in range(len(ids) - k + 1):
-                runs.setdefault(ids[i : i + k], set()).add(item_id)
+            if len(ids) >= k:
+                for i in range(0, len(ids) - self.chunk + 1, self.chunk):
+                    chunks[ids[i : i + self.chunk]].append((len(self.items), i))
+                self.items.append((item_id, ids))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for run, of in runs.items():
-            self.automaton.add_word(run, tuple(sorted(of)))
-        self.empty = not runs
-        if runs:
+        for chunk, at in chunks.items():
+            self.automaton.add_word(chunk, at)
+        self.empty = not chunks
+        if chunks:
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """``(item_id, first word, last word)`` of maximal stretches of runs of that item."""
+    def hits(self, found: list[str]) -> list[tuple[int, int, int]]:
+        """``(item_id, first word, last word)`` of the maximal stretches of ``found`` that are made of ``k`` words in a row of that item."""
         if self.empty:
             return []
         get = self.number.get
-        ids = tuple([get(w, 0) for w in words(text)])
-        open_: dict[int, list[int]] = {}
+        ids = tuple([get(w, 0) for w in found])
+        done: dict[tuple[int, int], int] = {}  # how far an item was followed along one alignment
+        ends: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for end, places in self.automaton.iter(ids):
+            for item, at in places:
+                shift = end - self.chunk + 1 - at
+                if done.get((item, shift), -1) >= end:
+                    continue
+                held = self.items[item][1]
+                a, b = end - self.chunk + 1, end
+                while a > 0 and a - shift > 0 and ids[a - 1] == held[a - 1 - shift]:
+                    a -= 1
+                while b + 1 < len(ids) and b + 1 - shift < len(held) and ids[b + 1] == held[b + 1 - shift]:
+                    b += 1
+                done[item, shift] = b
+                if b - a + 1 >= self.k:
+                    ends[item].append((a + self.k - 1, b))
         out = []
-        for end, of in self.automaton.iter(ids):
-            for item in of:
-                if item in open_ and open_[item][1] == end - 1:
-                    open_[item][1] = end
-                else:
-                    if item in open_:
-                        out.append((item, *open_[item]))
-                    open_[item] = [end - self.k + 1, end]
-        return out + [(item, *span) for item, span in open_.items()]
+        for item, spans in ends.items():
+            # Stretches of several alignments whose runs end side by side are one.
+            spans.sort()
+            a, b = spans[0]
+            for x, y in spans[1:]:
+                if x > b + 1:
+                    out.append((self.items[item][0], a - self.k + 1, b))
+                    a, b = x, y
+                b = max(b, y)
+            out.append((self.items[item][0], a - self.k + 1, b))
+        return out
 
 
 def stored_offsets(text: str) -> list[tuple[int, int]]:
@@ -80,46 +111,69 @@ def stored_offsets(text: str) -> list[tuple[int, int]]:
     return [(at[m.start()][0], at[m.end() - 1][1]) for m in _WORD.finditer("".join(form))]
 
 
-_MADE: dict[tuple[str, int], Passages] = {}  # a worker builds it once
+_MADE: dict[tuple, Passages] = {}  # the automaton a worker built last
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, k: int = 12, offsets: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _blocks(items: DataFrame, block_chars: int) -> list[bytes]:
+    """The items in the order of their ids, packed in blocks of about ``block_chars`` characters."""
+    blocks, block, chars = [], [], 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        block.append((r.item_id, r.text))
+        chars += len(r.text)
+        if chars >= block_chars:
+            blocks.append(zlib.compress(pickle.dumps(block)))
+            block, chars = [], 0
+    return blocks + [zlib.compress(pickle.dumps(block))] * bool(block)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, k: int = 12, offsets: bool = True, block_chars: int = BLOCK_CHARS, spool_words: int = SPOOL_WORDS) -> DataFrame:
     """One row a document, item and stretch of at least ``k`` words that both share.
 
     Columns ``doc_id, item_id, first_word, n_words`` and, with ``offsets``,
     ``start_char, end_char`` in the stored text. Items of fewer than ``k`` words and
     NULL or empty texts have no stretches; an item twice under different ids gives two
-    rows; whole texts are read, however long. Items are held-out material and mostly
-    one block; more of them are several, each with an automaton and a scan of its own.
+    rows; whole texts are read, however long.
+
+    Documents are read and cut into words once, whatever the number of items: up to
+    ``spool_words`` words wait while one automaton after the other passes over them. A
+    worker holds the items (held-out material) packed, and one automaton.
     """
     spark = documents.sparkSession
     ship(spark)
-    given = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    total = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if total <= block_chars:
-        return _scan(documents, given, k, offsets)
-    placed = prefix_sums(given, [], ["item_id"], F.length("text"), "at")
-    found = [_scan(documents, placed.where(F.floor(F.col("at") / block_chars) == i).select("item_id", "text"), k, offsets) for i in range(-(-total // block_chars))]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _scan(documents: DataFrame, given: DataFrame, k: int, offsets: bool) -> DataFrame:
-    spark = documents.sparkSession
-    rows = sorted((r.item_id, r.text) for r in given.collect())  # one block
-    held, key = spark.sparkContext.broadcast(rows), (hashlib.md5(repr(rows).encode()).hexdigest(), k)
+    blocks = _blocks(items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text"), block_chars)
+    held, keys = spark.sparkContext.broadcast(blocks), [hashlib.md5(b).hexdigest() for b in blocks]
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "first_word", "n_words", *(("start_char", "end_char") if offsets else ()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passages(i: int) -> Passages:
+        key = (keys[i], k)
         if key not in _MADE:
             _MADE.clear()
-            _MADE[key] = Passages(held.value, k)
-        passages = _MADE[key]
+            _MADE[key] = Passages(pickle.loads(zlib.decompress(held.value[i])), k)
+        return _MADE[key]
+
+    def leaks(i: int, doc: int, text: str, found: list[str]) -> list[tuple]:
+        spans = passages(i).hits(found)
+        at = stored_offsets(text) if spans and offsets else None
+        return [(doc, item, a, b - a + 1, *((at[a][0], at[b][1]) if at else ())) for item, a, b in spans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64()) for _ in schema], schema=schema)
+
+        spool, waiting = [], 0
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = passages.hits(text := text.as_py())
-                at = stored_offsets(text) if found and offsets else None
-                out += [(doc, item, a, b - a + 1, *((at[a][0], at[b][1]) if at else ())) for item, a, b in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64()) for _ in schema], schema=schema)
+                found = words(text := text.as_py())
+                if len(keys) == 1:
+                    out += leaks(0, doc, text, found)
+                elif keys:
+                    spool.append((doc, text, " ".join(found)))
+                    waiting += len(found)
+                    if waiting > spool_words:
+                        out += [r for i in range(len(keys)) for x, y, z in spool for r in leaks(i, x, y, z.split())]
+                        spool, waiting = [], 0
+            yield made(out)
+        yield made([r for i in range(len(keys)) for x, y, z in spool for r in leaks(i, x, y, z.split())])
 
     return documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in schema.names))

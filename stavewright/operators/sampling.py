@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,25 @@ def clean_first(df: DataFrame, group: list[str], tainted: Column, order: list[Co
 
 
 def pack_u16(tokens: Column) -> Column:
-    """The ids as little-endian 16-bit binary."""
-    return F.unhex(F.array_join(F.transform(tokens, lambda i: F.concat(F.lpad(F.hex(i.cast("bigint") % 256), 2, "0"), F.lpad(F.hex(F.floor(i / 256)), 2, "0"))), ""))
+    """The ids as little-endian 16-bit binary; NULL for NULL, and where an id is NULL or has more than 16 bits."""
+
+    @F.pandas_udf("binary")
+    def pack(lists: pd.Series) -> pd.Series:
+        def one(ids) -> bytes | None:
+            if ids is None or ids.dtype.kind != "i" and len(ids) or len(ids) and not 0 <= ids.min() <= ids.max() < 1 << 16:
+                return None
+            return ids.astype("<u2").tobytes()
+
+        return lists.map(one)
+
+    return pack(tokens)
 
 
 def unpack_u16(content: Column) -> Column:
-    """The ids of little-endian 16-bit binary."""
-    h = F.hex(content)
-    count = F.floor(F.length(h) / 4).cast("int")
-    byte = lambda at: F.conv(F.substring(h, at, 2) if isinstance(at, int) else F.substr(h, at, F.lit(2)), 16, 10).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: byte(4 * i + 1) + 256 * byte(4 * i + 3))).when(content.isNotNull(), F.array().cast("array<int>"))
+    """The ids of little-endian 16-bit binary; an odd last byte is none."""
+
+    @F.pandas_udf("array<int>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<u2", count=len(b) // 2).astype(np.int32))
+
+    return unpack(content)

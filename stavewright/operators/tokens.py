@@ -2,18 +2,24 @@
 
 Encoding works on the nested row of a score, inside one JVM expression: no shuffle and
 no vocabulary join, because an id follows from its token's fields by block arithmetic.
-Decoding is a set of windows over one sequence's tokens.
+Decoding reads each sequence where it lies, as arrays, without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stavewright.functions.fixed import CANONICAL_RATIOS, CLEFS, EXTENDED_RATIOS, FIRST, INSTRUMENTS, LATER_RATIOS, MAX_PARTS, MAX_VOICES, TYPES
+from stavewright.functions.fixed import CANONICAL_RATIOS, CLEFS, EXTENDED_RATIOS, FIRST, INSTRUMENTS, LATER_RATIOS, MAX_PARTS, MAX_VOICES, STEPS, TYPES, vocabulary
 from stavewright.functions.pitch import step_index
-from stavewright.sources.dimensions import instruments, vocab
+from stavewright.sources.dimensions import vocab
+from stavewright.storage import ship
 
 
 def _place(values: list, x: Column) -> Column:
@@ -146,6 +152,84 @@ def spell(tokens: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(vocab(tokens.sparkSession)), "token_id", "left")
 
 
+_NONE = -1
+
+
+@cache
+def _tables() -> dict[str, np.ndarray]:
+    """For each id its tag (place in _TAGS, the last for an id without a token) and up to three numbers: places in lists where the token has words."""
+    listed = {"step": STEPS, "clef": list(CLEFS), "instrument": [x[0] for x in INSTRUMENTS], "dur": TYPES}
+    tokens = vocabulary()
+    tag, numbers = np.full(len(tokens) + 1, len(_TAGS), dtype=np.int8), np.full((3, len(tokens) + 1), _NONE, dtype=np.int64)
+    for i, token in enumerate(tokens):
+        head, *rest = token.split(":")
+        tag[i] = _TAGS.index(head)
+        for j, x in enumerate(rest):
+            words = listed.get("step" if head == "pitch" else head)
+            numbers[j, i] = words.index(x) if j == 0 and words else int(x)
+    return {"tag": tag, "numbers": numbers}
+
+
+_TAGS = ["pad", "bos", "eos", "measure", "chord", "tie_start", "tie_stop", "rest", "key", "time", "clef", "instrument", "part", "pitch", "dur", "voice", "tuplet"]
+_OF = {t: i for i, t in enumerate(_TAGS)}
+
+
+def _since(flag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The place of the last flagged position up to each one, _NONE if it lies before ``start``."""
+    last = np.maximum.accumulate(np.where(flag, np.arange(len(flag)), _NONE))
+    return np.where(last >= start, last, _NONE)
+
+
+def _decode_one(ids: np.ndarray) -> dict[str, list]:
+    """Parts, measures and events of one sequence, as arrays of numbers."""
+    t = _tables()
+    size = t["numbers"].shape[1] - 1
+    ids = np.where((ids >= 0) & (ids < size), ids, size)
+    tag, (a1, a2, a3) = t["tag"][ids], t["numbers"][:, ids]
+    at = np.arange(len(ids))
+    number = np.cumsum(tag == _OF["measure"])
+    opens = (tag == _OF["measure"]) | (tag == _OF["part"])
+    start = np.maximum.accumulate(np.where(opens, at, _NONE))  # where its column begins
+    inside = (start >= 0) & (tag[start] == _OF["part"])
+    out = {"instruments": a1[tag == _OF["instrument"]]}
+
+    begins = np.flatnonzero(inside & opens)  # columns with a part: a measure each
+    column = np.cumsum(inside & opens) - 1
+    part = a1[begins]
+    order = np.argsort(part, kind="stable")
+    first = np.searchsorted(part[order], part[order])
+    measure_idx = np.empty(len(begins), dtype=np.int64)
+    measure_idx[order] = np.arange(len(begins)) - first
+    measure = {"part_idx": part, "measure_idx": measure_idx, "number": number[begins]}
+    for name, source, values in (("key_sig", "key", a1), ("beats", "time", a1), ("beat_type", "time", a2), ("clef", "clef", a1)):
+        measure[name] = np.full(len(begins), _MISSING)
+        some = np.flatnonzero(inside & (tag == _OF[source]))
+        measure[name][column[some]] = values[some]  # the last one holds
+    out["measures"] = measure
+
+    head = inside & ((tag == _OF["pitch"]) | (tag == _OF["rest"]))
+    heads = np.flatnonzero(head)
+    event = np.cumsum(head) - 1
+    begun = inside & (_since(head, start) >= 0)
+    voice = _since(tag == _OF["voice"], start)
+    made = {"column": column[heads], "rest": tag[heads] == _OF["rest"], "step": a1[heads], "alter": a2[heads], "octave": a3[heads]}
+    made["voice"] = np.where(voice[heads] >= 0, a1[voice[heads]], 1)
+    made["chord"] = (heads > 0) & (tag[heads - 1] == _OF["chord"])
+    for name, source, values in (("dur_type", "dur", a1), ("dots", "dur", a2), ("actual", "tuplet", a1), ("normal", "tuplet", a2)):
+        made[name] = np.full(len(heads), _MISSING)
+        some = np.flatnonzero(begun & (tag == _OF[source]))
+        made[name][event[some]] = values[some]
+    for name in ("tie_start", "tie_stop"):
+        made[name] = np.zeros(len(heads), dtype=bool)
+        made[name][event[begun & (tag == _OF[name])]] = True
+    made["event_idx"] = np.arange(len(heads)) - np.searchsorted(made["column"], made["column"])
+    out["events"] = made
+    return out
+
+
+_MISSING = -(1 << 31)
+
+
 def decode(sequences: DataFrame, key: str = "seq_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(parts, measures, events)``, long, of sequences ``(key, tokens)``.
 
@@ -153,35 +237,56 @@ def decode(sequences: DataFrame, key: str = "seq_id") -> tuple[DataFrame, DataFr
     the last ``part`` since then (a part named twice in a measure has two measures of
     that number; ``measure_idx`` counts a part's own), its voice the last ``voice`` since the part (else 1); an
     event begins at ``pitch`` or ``rest``, and durations, tuplets and ties belong to
-    the last one. ``stop`` and ``start`` on one event are ``both``. Tokens outside any
-    part, and ids without a token, say nothing. NULL and empty sequences decode to no
-    rows. A sequence is one window group: as long as a score, not as the corpus.
+    the last one, of several the last holds. ``stop`` and ``start`` on one event are
+    ``both``. Tokens outside any part, and ids without a token, say nothing. NULL and
+    empty sequences decode to no rows. Sequences are decoded where they lie, without a
+    shuffle, each as a whole.
     """
-    spark = sequences.sparkSession
-    long = spell(sequences.select(key, F.posexplode("tokens").alias("pos", "token_id")))
-    a = F.split("token", ":")
-    long = long.select(key, "pos", F.get(a, F.lit(0)).alias("tag"), *[F.get(a, F.lit(i)).alias(f"a{i}") for i in (1, 2, 3)])
-    run = W.partitionBy(key).orderBy("pos")
-    long = long.withColumn("number", F.sum(F.when(F.col("tag") == "measure", 1).otherwise(0)).over(run))
-    long = long.withColumn("column", F.sum(F.when(F.col("tag").isin("measure", "part"), 1).otherwise(0)).over(run))
-    inside = W.partitionBy(key, "column").orderBy("pos")
-    long = long.withColumn("part_idx", F.first(F.when(F.col("tag") == "part", F.col("a1"))).over(inside).cast("int"))
-    long = long.withColumn("voice", F.coalesce(F.last(F.when(F.col("tag") == "voice", F.col("a1")), ignorenulls=True).over(inside), F.lit("1")).cast("int"))
-    long = long.withColumn("event_idx", F.sum(F.when(F.col("tag").isin("pitch", "rest"), 1).otherwise(0)).over(inside) - 1).withColumn("chord", F.lag("tag").over(inside) == "chord")
-    body = long.where("part_idx is not null").withColumn("measure_idx", F.dense_rank().over(W.partitionBy(key, "part_idx").orderBy("column")) - 1)
-    parts = long.where("tag = 'instrument'").select(key, (F.row_number().over(run) - 1).cast("int").alias("part_idx"), F.col("a1").alias("instrument"))
-    parts = parts.join(F.broadcast(instruments(spark).select("instrument", "name")), "instrument", "left").select(key, "part_idx", "instrument", "name")
-    pick = lambda tag, i: F.max(F.when(F.col("tag") == tag, F.col(f"a{i}")))
-    measures = body.groupBy(key, "part_idx", "measure_idx", "number").agg(pick("key", 1).cast("int").alias("key_sig"), pick("time", 1).cast("int").alias("beats"), pick("time", 2).cast("int").alias("beat_type"), pick("clef", 1).alias("clef"))
-    head = F.col("tag").isin("pitch", "rest")
-    has = lambda tag: F.max(F.when(F.col("tag") == tag, True)).isNotNull()
-    start, stop = has("tie_start"), has("tie_stop")
-    events = body.where("event_idx >= 0 and tag in ('pitch','rest','dur','tuplet','tie_start','tie_stop')").groupBy(key, "part_idx", "measure_idx", "number", "event_idx").agg(
-        F.when(F.max(F.when(F.col("tag") == "rest", True)), F.lit("rest")).otherwise(F.lit("note")).alias("kind"),
-        pick("pitch", 1).alias("step"), pick("pitch", 2).cast("int").alias("alter"), pick("pitch", 3).cast("int").alias("octave"),
-        pick("dur", 1).alias("dur_type"), pick("dur", 2).cast("int").alias("dots"),
-        F.when(start & stop, F.lit("both")).when(start, F.lit("start")).when(stop, F.lit("stop")).alias("tie"),
-        F.coalesce(F.max(F.when(head, F.col("chord"))), F.lit(False)).alias("chord"), F.max(F.when(head, F.col("voice"))).alias("voice"),
-        pick("tuplet", 1).cast("int").alias("actual"), pick("tuplet", 2).cast("int").alias("normal"),
-    )
-    return parts, measures, events
+    ship(sequences.sparkSession)
+    field = next(f for f in sequences.schema if f.name == key)
+    shapes = {
+        "parts": "part_idx int, instrument string, name string", "measures": "part_idx int, measure_idx int, number int, key_sig int, beats int, beat_type int, clef string",
+        "events": "part_idx int, measure_idx int, number int, event_idx int, kind string, step string, alter int, octave int, dur_type string, dots int, tie string, chord boolean, voice int, actual int, normal int",
+    }
+
+    def table(what: str) -> DataFrame:
+        schema = T.StructType([T.StructField(key, field.dataType), *T.StructType.fromDDL(shapes[what])])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = {x[0]: x[1] for x in INSTRUMENTS}
+            clefs, instruments_ = list(CLEFS), [x[0] for x in INSTRUMENTS]
+            word = lambda xs, words: pa.array(np.append(np.array(words, dtype=object), None)[np.where(xs < 0, len(words), xs)], pa.string())
+            whole = lambda xs: pa.array(xs.astype(np.int32), mask=xs == _MISSING)
+            for batch in batches:
+                lists = batch.column(1)
+                made, rows = [], []
+                for ids in lists:
+                    one = _decode_one(ids.values.fill_null(_NONE).to_numpy(zero_copy_only=False)) if ids.is_valid and len(ids.values) else None
+                    if what == "events" and one:
+                        e, m = one["events"], one["measures"]
+                        one = e | {x: m[x][e["column"]] for x in ("part_idx", "measure_idx", "number")}
+                    elif one:
+                        one = one["measures"] if what == "measures" else {"instrument": one["instruments"]}
+                    made.append(one)
+                    rows.append(len(next(iter(one.values()))) if one else 0)
+                some = [x for x in made if x]
+                c = {n: np.concatenate([x[n] for x in some]) for n in some[0]} if some else None
+                if not c or not sum(rows):
+                    continue
+                owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), rows)))
+                if what == "parts":
+                    spelt = word(c["instrument"], instruments_)
+                    columns = [whole(np.concatenate([np.arange(n) for n in rows])), spelt, pa.array([names[x] for x in spelt.to_pylist()])]
+                elif what == "measures":
+                    columns = [whole(c[n]) for n in ("part_idx", "measure_idx", "number", "key_sig", "beats", "beat_type")] + [word(c["clef"], clefs)]
+                else:
+                    sounding = lambda xs: whole(np.where(c["rest"], _MISSING, xs))
+                    columns = [whole(c[n]) for n in ("part_idx", "measure_idx", "number", "event_idx")]
+                    columns += [word(np.where(c["rest"], 0, 1), ["rest", "note"]), word(np.where(c["rest"], _NONE, c["step"]), STEPS), sounding(c["alter"]), sounding(c["octave"])]
+                    columns += [word(c["dur_type"], TYPES), whole(c["dots"]), word(c["tie_start"] * 1 + c["tie_stop"] * 2 - 1, ["start", "stop", "both"]), pa.array(c["chord"])]
+                    columns += [whole(c[n]) for n in ("voice", "actual", "normal")]
+                yield pa.RecordBatch.from_arrays([owner, *columns], schema.names)
+
+        return sequences.select(key, "tokens").mapInArrow(run, schema)
+
+    return table("parts"), table("measures"), table("events")

@@ -9,6 +9,7 @@ from stavewright.functions import duration, pitch
 from stavewright.functions.fixed import INSTRUMENTS, RATIOS, TRANSPOSITIONS, TYPES
 from stavewright.functions.names import base_name, normalise
 from stavewright.operators import layout, sampling, score, stats, tokens
+from stavewright.plans import scores
 from stavewright.sources import corpus, dimensions
 from stavewright.cli import instrument_table, matches
 
@@ -379,15 +380,24 @@ vocab_blocks as (
   union all select 6, o.range * 35 + s.range * 5 + a.range, 'pitch:' || 'CDEFGAB'[s.range + 1] || ':' || (a.range - 2) || ':' || o.range from range(9) o, range(7) s, range(5) a
   union all select 7, i * 3 + dots.range, 'dur:' || t || ':' || dots.range from (select t, i from {_DUR}), range(3) dots where i < 8
   union all select 8, range, 'voice:' || (range + 1) from range(8)
-  union all select 9, ord, 'instrument:' || instrument from {_ROSTER} where ord >= 32),
+  union all select 9, ord, 'instrument:' || instrument from {_ROSTER} where ord >= 32
+  union all select 10, i, 'tuplet:' || r from (select unnest(['3:2', '5:4', '7:4', '9:8']) as r, unnest(range(4)) as i)
+  union all select 11, i, 'dur:' || t || ':3' from {_DUR} where i < 8
+  union all select 12, i, 'tuplet:' || r from (select unnest(['11:8', '13:8', '15:8']) as r, unnest(range(3)) as i)
+  union all select 13, range, 'dur:128th:' || range from range(4)
+  union all select 14, i, 'tuplet:' || r from (select unnest(['2:1', '2:3', '4:3', '4:6', '5:2', '5:3', '6:4', '7:1', '7:8']) as r, unnest(range(9)) as i)
+  union all select 15, i, 'dur:' || t || ':4' from {_DUR} where i < 9
+  union all select 16, i, 'tuplet:' || r from (select unnest(['7:6', '8:2', '9:4', '10:4', '10:8', '11:12', '12:8', '16:8', '22:16', '35:16']) as r, unnest(range(10)) as i)
+  union all select 17, t.i * 5 + dots.range, 'dur:' || t.t || ':' || dots.range from (values (0, '256th'), (1, 'long')) as t(i, t), range(5) dots
+  union all select 18, i, 'clef:' || c from (select unnest(['soprano', 'mezzo_soprano', 'baritone', 'treble_8va', 'treble_15ma', 'bass_8vb', 'bass_8va', 'french_violin']) as c, unnest(range(8)) as i)),
 vocab as (select row_number() over (order by b, j) - 1 as token_id, token from vocab_blocks)
 """
 
 
 @_query(f"with {_VOCAB} select cast(token_id as integer) as token_id, token from vocab")
 def vocab_frozen(spark, d):
-    """J10 U1..U3: the first ten blocks of the vocabulary."""
-    return dimensions.vocab(spark).where("token_id < 601")
+    """J10 U1..U4 A11: the whole vocabulary."""
+    return dimensions.vocab(spark)
 
 
 @_query(f"""
@@ -413,6 +423,9 @@ def decoded_events(spark, d):
     return events.groupBy("seq_id", "part_idx", (F.col("number") - 1).cast("bigint").alias("measure_idx")).agg(F.count("*").alias("n_events"), F.count_if(F.col("kind") == "rest").alias("n_rests"))
 
 
+encoded_scores = _query(scores._encoded_sql(_VOCAB))(scores.encoded_scores)
+
+
 @_query("""
 with w as (select seq_id, unnest(generate_series(1, len(tokens) - 64)) as i, tokens from tokens_bin where len(tokens) > 64)
 select seq_id, count(*) as n_windows, cast(sum(tokens[i]) as bigint) as first_ids, cast(sum(tokens[i + 64]) as bigint) as last_targets from w group by seq_id

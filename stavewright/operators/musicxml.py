@@ -75,21 +75,23 @@ def _toward_zero(a: int, b: int) -> int:
     return abs(a) // b * (1 if a >= 0 else -1)
 
 
+def _element(name: str, *inside: tuple[str, object]) -> str:
+    return f"<{name}>{''.join(_tag(x, value) for x, value in inside)}</{name}>\n"
+
+
 def _attributes(m: dict, transpose: dict | None) -> str:
-    if transpose is None and all(m[k] is None for k in ("key", "beats", "clef")):
-        return ""
-    out = ["<attributes>\n", f"<divisions>{DIVISIONS}</divisions>\n"]
+    """What a measure states, in the order MusicXML wants it; nothing if it states nothing."""
+    stated = []
     if m["key"] is not None:
-        out.append(f"<key><fifths>{m['key']}</fifths></key>\n")
+        stated.append(_element("key", ("fifths", m["key"])))
     if m["beats"] is not None:
-        out.append(f"<time><beats>{m['beats']}</beats><beat-type>{m['beat_type']}</beat-type></time>\n")
+        stated.append(_element("time", ("beats", m["beats"]), ("beat-type", m["beat_type"])))
     if m["clef"] is not None:
-        sign, line, change = CLEFS[m["clef"]]
-        out.append(f"<clef><sign>{sign}</sign><line>{line}</line>{_tag('clef-octave-change', change or None)}</clef>\n")
+        stated.append(_element("clef", *zip(("sign", "line", "clef-octave-change"), (*CLEFS[m["clef"]][:2], CLEFS[m["clef"]][2] or None))))
     if transpose is not None:
         octaves = _toward_zero(transpose["diatonic"], 7)
-        out.append(f"<transpose><diatonic>{transpose['diatonic'] - 7 * octaves}</diatonic><chromatic>{transpose['chromatic'] - 12 * octaves}</chromatic>{_tag('octave-change', octaves or None)}</transpose>\n")
-    return "".join([*out, "</attributes>\n"])
+        stated.append(_element("transpose", ("diatonic", transpose["diatonic"] - 7 * octaves), ("chromatic", transpose["chromatic"] - 12 * octaves), ("octave-change", octaves or None)))
+    return f"<attributes>\n{_tag('divisions', DIVISIONS)}\n{''.join(stated)}</attributes>\n" if stated else ""
 
 
 def _measure(m: dict, transpose: dict | None) -> str:

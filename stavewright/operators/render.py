@@ -49,14 +49,24 @@ def pdf_pages(xml: str) -> tuple[bytes | None, str | None]:
         return (ran.stdout, None) if ran.returncode == 0 and ran.stdout else (None, "rsvg_failed")
 
 
-def render_svg(documents: DataFrame) -> DataFrame:
-    """``(score_key, pages, error)`` of ``(score_key, xml)``."""
+def _render(documents: DataFrame, column: str, kind: str, one) -> DataFrame:
     ship(documents.sparkSession)
+    ddl = f"score_key string, {column} {kind}, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("score_key", pa.string()), ("pages", pa.list_(pa.string())), ("error", pa.string())])
+        schema = pa.schema([("score_key", pa.string()), (column, pa.list_(pa.string()) if kind == "array<string>" else pa.binary()), ("error", pa.string())])
         for batch in batches:
-            rows = [dict(zip(schema.names, (r["score_key"], *svg_pages(r["xml"])))) for r in batch.to_pylist()]
+            rows = [dict(zip(schema.names, (r["score_key"], *one(r["xml"])))) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return documents.where("xml is not null").select("score_key", "xml").mapInArrow(run, "score_key string, pages array<string>, error string")
+    return documents.where("xml is not null").select("score_key", "xml").mapInArrow(run, ddl)
+
+
+def render_svg(documents: DataFrame) -> DataFrame:
+    """``(score_key, pages, error)`` of ``(score_key, xml)``."""
+    return _render(documents, "pages", "array<string>", svg_pages)
+
+
+def render_pdf(documents: DataFrame) -> DataFrame:
+    """``(score_key, pdf, error)`` of ``(score_key, xml)``."""
+    return _render(documents, "pdf", "binary", pdf_pages)

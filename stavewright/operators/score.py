@@ -94,9 +94,12 @@ def first_key(parts: Column) -> Column:
 
 def to_key(scores: DataFrame, goal: int, direction: str = "nearest") -> DataFrame:
     """Every score moved from its first key to ``goal``; a score that states none fails the query."""
+    keys = scores.sparkSession.range(-60, 61).select(F.col("id").cast("int").alias("k"))
+    # Looked up: one interval a key, and no score has more sharps.
+    ways = keys.select("k", F.struct(*[x.alias(n) for x, n in zip(pitch.key_interval(F.col("k"), F.lit(goal), direction), "dc")]).alias("w"))
     known = scores.withColumn("_from", F.coalesce(first_key(F.col("parts")), F.raise_error(F.lit("a score states no key signature to transpose from")).cast("int")))
-    d, c = pitch.key_interval(F.col("_from"), F.lit(goal), direction)
-    return known.withColumn("_d", d).withColumn("_c", c).withColumn("parts", _moved(F.col("parts"), F.col("_d"), F.col("_c"))).drop("_from", "_d", "_c")
+    known = known.join(F.broadcast(ways), F.col("_from") == F.col("k"), "left")
+    return known.withColumn("parts", _moved(F.col("parts"), F.col("w")["d"], F.col("w")["c"])).drop("_from", "k", "w")
 
 
 def in_range(midi: Column, low: Column, high: Column) -> Column:

@@ -67,6 +67,21 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return F.log(total) + top - F.get(xs, target)
 
 
+def mean_loss(losses: Column) -> Column:
+    """Over all rows; what a model of ``n`` equally likely tokens has is ln n."""
+    return F.avg(losses)
+
+
+def throughput(tokens: Column, seconds: Column) -> Column:
+    """Tokens a second; NULL for no time."""
+    return F.try_divide(tokens.cast("double"), seconds.cast("double"))
+
+
+def parameter_count(shapes: DataFrame) -> DataFrame:
+    """``(n_parameters)`` of a table whose ``shape`` is the size of each tensor's axes; a scalar has one."""
+    return shapes.agg(F.coalesce(F.sum(F.aggregate("shape", F.lit(1).cast("bigint"), lambda acc, n: acc * n)), F.lit(0)).cast("bigint").alias("n_parameters"))
+
+
 def bigrams(sequences: DataFrame) -> DataFrame:
     """``(token, next, n, p)`` over all sequences: the table a model without context could learn at best. Pairs don't cross sequences."""
     pairs = sequences.where("size(tokens) > 1").select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("a"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("b"))).alias("z"))

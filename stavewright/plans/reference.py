@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavewright.functions import duration, pitch
-from stavewright.functions.fixed import INSTRUMENTS, RATIOS, TRANSPOSITIONS, TYPES
+from stavewright.functions.fixed import INSTRUMENTS, INTERVALS, RATIOS, TRANSPOSITIONS, TYPES
 from stavewright.functions.names import base_name, normalise
 from stavewright.operators import layout, sampling, score, stats, tokens
 from stavewright.plans import scores
 from stavewright.sources import corpus, dimensions
-from stavewright.cli import instrument_table, matches
+from stavewright.storage import new_path
+from stavewright.streaming import ingest
+from stavewright.cli import by_family, instrument_table, matches, transposing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +104,16 @@ def cross_entropy(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", F.round(stats.cross_entropy(F.col("embedding"), F.col("label")), 6).alias("loss"))
 
 
+@_query("""
+with l as (select label, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double)))) + list_max(embedding)::double - embedding[label + 1]::double, 6) as loss from embeddings)
+select label, count(*) as n, round(avg(loss), 4) as mean_loss, round(1000.0 * count(*) / (1 + label), 4) as per_second from l group by label
+""")
+def mean_losses(spark, d):
+    """The mean loss by label, and rows a second if the label were the seconds spent."""
+    losses = cross_entropy(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    return losses.groupBy("label").agg(F.count("*").alias("n"), F.round(stats.mean_loss(F.col("loss")), 4).alias("mean_loss"), F.round(stats.throughput(F.count("*") * 1000, F.first("label") + 1), 4).alias("per_second"))
+
+
 @_query("""
 with p as (select tokens[i] as token, tokens[i + 1] as next from tokens_bin, unnest(generate_series(1, len(tokens) - 1)) as g(i) where len(tokens) > 1), c as (select token, next, count(*) as n from p group by all)
 select token, next, n, n / sum(n) over (partition by token) as p from c
@@ -153,14 +167,21 @@ f as (select file_id, unnest(string_split(l, chr(9))) as f from (select file_id,
 select file_id, count(*) as n_events, cast(coalesce(sum(length(regexp_replace(regexp_extract(f, '[a-gA-G]+'), '[^a-g]', '', 'g')) > 0), 0) as bigint) as n_low from f where f <> '.' group by file_id
 """)
 def kern_events(spark, d):
-    """S6 N1..N25: kern files parsed into events; how many each has, and how many of them from middle C up."""
+    """Kern files parsed into events; how many each has, and how many of them from middle C up."""
     files = _t(spark, d, "raw_files").where(F.startswith("content", F.lit("**kern")))
     parsed = corpus.parse_scores(files, "file_id", F.lit("kern"))
     events = score.events_of(parsed)
     return events.groupBy(F.col("score_key").cast("bigint").alias("file_id")).agg(F.count("*").alias("n_events"), F.count_if(F.col("octave") >= 4).alias("n_low"))
 
 
-@_query()
+@_query(f"""
+with {scores._CELLS}, n as (select i, 4 + 2 * count(distinct part_idx) - 1 + 2 * count(*) as tokens from notes group by i),
+files as (select cast(file_id as varchar) as score_key, file_id, content, (select max(format) from sources s where s.source = r.source) as format from raw_files r),
+told as (
+  select score_key, n.tokens, case when content is null then 'empty' when format is null or format not in ('kern', 'musicxml', 'mxl') then 'unknown_format' when format = 'kern' then case when n.tokens is null then 'no_exclusive_interpretation' end
+    when starts_with(content, '<') then 'crash' else 'other' end as code from files left join n on n.i = file_id)
+select score_key, cast(case when code is null then tokens end as bigint) as tokens, cast(case when code is null then 2 * coalesce(sum(case when code is null then tokens end) over (order by score_key rows between unbounded preceding and 1 preceding), 0) end as bigint) as byte_offset, code from told
+""")
 def kern_ingest(spark, d):
     """Every listed file parsed by its source's format and encoded; index rows and typed refusals.
 
@@ -216,12 +237,24 @@ def cursor_layout(spark, d):
     return layout.gaps(placed, ["user_id"], ["event_id"], "starts_at", "n", F.col("kind") == "chord").select("event_id", "starts_at", "gap")
 
 
-@_query()
+@_query("""
+with recursive l as (
+  select l_orderkey, l_quantity > 10 as t, case when l_quantity % 2 = 0 then 1 else 2 end as m, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity > 10, case when l_quantity % 2 = 0 then 1 else 2 end) as rn from lineitem),
+-- Sums count two thirds of an eighth; those that a written value has: 3, 9, 21, 45 and 93, doubled at will.
+plain as (select n * (2 ** k)::bigint as v from (values (3), (9), (21), (45), (93)) as b(n), range(8) as r(k)),
+f as (
+  select l_orderkey, rn, t, 0::bigint as last, 0::bigint as total, 0::bigint as id from (select l_orderkey, 0::bigint as rn, false as t from l group by l_orderkey)
+  union all
+  select f.l_orderkey, l.rn, l.t, greatest(f.last, x.id), case when l.t and f.s + l.m not in (select v from plain) then f.s + l.m else 0 end, x.id
+  from (select *, total as s, total > 0 as goes from f) f join l on l.l_orderkey = f.l_orderkey and l.rn = f.rn + 1, lateral (select case when not l.t then 0 when f.goes then f.last else f.last + 1 end as id) x),
+n as (select *, lag(id) over w as before, lead(id) over w as after from (select * from f where rn > 0) window w as (partition by l_orderkey order by rn))
+select l_orderkey, string_agg(case when id = 0 then '-' when id is distinct from before and id is distinct from after then 'both' when id is distinct from before then 'start' when id is distinct from after then 'stop' else '-' end, ' ' order by rn) as marks from n group by l_orderkey
+""")
 def tuplet_brackets(spark, d):
     """Bracket marks over each order's lines, the quantity read as a ratio."""
     lines = _t(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_quantity") > 10, F.lit("3:2")).alias("ratio"), F.when(F.col("l_quantity") % 2 == 0, F.lit(7687680)).otherwise(F.lit(15375360)).cast("bigint").alias("sounding")).alias("e"))
     runs = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["ratio"].alias("ratio"), e["sounding"].alias("sounding"))).alias("events"))
-    return runs.select("l_orderkey", layout.tuplet_marks(F.col("events")).alias("marks"))
+    return runs.select("l_orderkey", F.array_join(layout.tuplet_marks(F.col("events")), " ", "-").alias("marks"))
 
 
 # --- pitch, keys, durations -----------------------------------------------------------------------------------------
@@ -317,11 +350,24 @@ def greedy_rests(spark, d):
     return p.select("p_partkey", F.size(rests).alias("n_rests"), F.array_join(F.transform(rests, lambda r: F.concat(r["type"], F.lit(" "))), "").alias("rests"))
 
 
-@_query()
+@_query("""
+with recursive units(i, u, t) as (values (1, 1024, 'long'), (2, 512, 'breve'), (3, 256, 'whole'), (4, 128, 'half'), (5, 64, 'quarter'), (6, 32, 'eighth'), (7, 16, '16th'), (8, 8, '32nd'), (9, 4, '64th'), (10, 2, '128th'), (11, 1, '256th')),
+p as (select p_partkey, p_partkey * 7 % 3000 as n from part),
+-- In thirds of a 256th: plain rests if they make it up, else triplets alone, else as few triplets as leave plain rests.
+s as (
+  select p_partkey, 1 as part, n // 3 as m, '' as ratio from p where n % 3 = 0
+  union all select p_partkey, 1, n // 2, ' 3:2' from p where n % 3 <> 0 and n % 2 = 0
+  union all select p_partkey, 1, (n - 2) // 3, '' from p where n % 3 = 2 and n % 2 = 1 union all select p_partkey, 2, 1, ' 3:2' from p where n % 3 = 2 and n % 2 = 1
+  union all select p_partkey, 1, (n - 4) // 3, '' from p where n % 3 = 1 and n % 2 = 1 and n > 1 union all select p_partkey, 2, 2, ' 3:2' from p where n % 3 = 1 and n % 2 = 1 and n > 1),
+g as (select p_partkey, part, ratio, m as lft, 0 as i, 0 as n, '' as t from s union all select p_partkey, part, ratio, lft % u, units.i, lft // u, units.t from g join units on units.i = g.i + 1),
+r as (select p_partkey, string_agg(repeat(t || ratio || ', ', n::integer), '' order by part, i) as rests from g group by p_partkey)
+select p_partkey, p_partkey * 7 % 3000 * 120120 as span, rests from p left join r using (p_partkey)
+""")
 def tuplet_rests(spark, d):
     """spans no plain rests make up, filled with tuplet rests or refused (NULL)."""
     p = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7 % 3000 * 120120).alias("span"))
-    return p.withColumn("rests", F.to_json(duration.decompose_rests(F.col("span"))))
+    written = F.transform(duration.decompose_rests(F.col("span")), lambda r: F.concat(r["type"], F.when(r["actual"].isNotNull(), F.concat(F.lit(" "), r["actual"], F.lit(":"), r["normal"])).otherwise(F.lit("")), F.lit(", ")))
+    return p.withColumn("rests", F.array_join(written, ""))
 
 
 # --- instruments ----------------------------------------------------------------------------------------------------
@@ -357,16 +403,84 @@ select instrument, family, cast(low as integer) as low_midi, cast(high as intege
 where transposition is not null and (contains(lower(instrument), 'bass') or contains(lower(name), 'bass') or contains(lower(aliases), 'bass'))
 """)
 def instrument_search(spark, d):
-    """P1..P3 P11: transposing instruments with "bass" in id, name or an alias."""
-    return dimensions.instruments(spark).where("transposition is not null").where(matches("Bass")).select("instrument", "family", "low_midi", "high_midi")
+    """Transposing instruments with "bass" in id, name or an alias."""
+    return transposing(dimensions.instruments(spark)).where(matches("Bass")).select("instrument", "family", "low_midi", "high_midi")
 
 
-@_query()
+# How each transposition reads, and the key it writes C major in.
+_READS = [
+    ("major_ninth_down", "M2 + 1 octave down", "D major"), ("major_second_down", "M2 down", "D major"), ("major_second_up", "M2 up", "Bb major"), ("major_sixth_down", "M6 down", "A major"), ("major_sixth_up", "M6 up", "Eb major"),
+    ("major_thirteenth_down", "M6 + 1 octave down", "A major"), ("minor_seventh_down", "m7 down", "Bb major"), ("minor_seventh_up", "m7 up", "D major"), ("minor_sixth_down", "m6 down", "Ab major"), ("minor_sixth_up", "m6 up", "E major"),
+    ("minor_third_down", "m3 down", "Eb major"), ("minor_third_up", "m3 up", "A major"), ("octave_down", "1 octave down", "C major"), ("octave_perfect_fourth_down", "P4 + 1 octave down", "F major"), ("octave_up", "1 octave up", "C major"),
+    ("perfect_fifth_down", "P5 down", "G major"), ("perfect_fifth_up", "P5 up", "F major"), ("perfect_fourth_down", "P4 down", "F major"), ("perfect_fourth_up", "P4 up", "G major"), ("two_octaves_down", "2 octaves down", "C major"),
+    ("two_octaves_major_second_down", "M2 + 2 octaves down", "D major"), ("two_octaves_up", "2 octaves up", "C major"),
+]
+_CLEF_OF = _values([(x[0], x[3]) for x in INSTRUMENTS], "instrument, clef")
+_NOTE_OF = "['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][1 + {0} % 12] || ({0} // 12 - 1)"
+
+
+@_query(f"""
+select cast(ord as integer) as ord, instrument, name, family, clef, coalesce(sounds, 'concert') as sounds, coalesce(written, 'C major') as c_major_is_written, coalesce({_NOTE_OF.format('low')} || '-' || {_NOTE_OF.format('high')}, '') as "range"
+from {_ROSTER} join (select * from {_CLEF_OF}) using (instrument) left join (select * from {_values(_READS, 't, sounds, written')}) on t = transposition
+""")
 def instrument_listing(spark, d):
     """The roster as the listing prints it."""
     return instrument_table(dimensions.instruments(spark))
 
 
+@_query(f"select family, cast(min(ord) as integer) as ord, count(*) as n, count(transposition) as n_transposing from {_ROSTER} group by family")
+def instrument_families(spark, d):
+    """Each family's place in the roster, its instruments and how many of them transpose."""
+    roster = dimensions.instruments(spark)
+    names = [r.family for r in dimensions.families(spark).collect()]  # eight
+    rows = [by_family(roster, f).agg(F.min("ord").alias("ord"), F.count("*").alias("n")).crossJoin(transposing(by_family(roster, f)).agg(F.count("*").alias("n_transposing"))).withColumn("family", F.lit(f)) for f in names]  # single rows
+    return reduce(DataFrame.unionByName, rows)
+
+
+@_query("""
+select name, cast(d as integer) as letters, cast(c as integer) as semitones, cast(-d as integer) as back_letters, cast(-c as integer) as back_semitones, cast(d + 14 as integer) as far_letters, cast(c + 24 as integer) as far_semitones, d = 0 and c = 0 as unison
+from (values ('unison', 0, 0), ('minor_second', 1, 1), ('major_second', 1, 2), ('minor_third', 2, 3), ('major_third', 2, 4), ('perfect_fourth', 3, 5), ('perfect_fifth', 4, 7), ('minor_sixth', 5, 8), ('major_sixth', 5, 9), ('minor_seventh', 6, 10), ('major_seventh', 6, 11), ('octave', 7, 12)) as v(name, d, c)
+""")
+def intervals(spark, d):
+    """The named intervals, turned round and two octaves wider."""
+    rows = []
+    for name in INTERVALS:
+        i = pitch.interval(name)
+        back, far = pitch.negate(*i), pitch.compose(i, pitch.interval("unison"), 2)
+        rows.append(F.struct(F.lit(name).alias("name"), *[x.cast("int").alias(n) for n, x in zip(("letters", "semitones", "back_letters", "back_semitones", "far_letters", "far_semitones"), (*i, *back, *far))], pitch.is_unison(*i).alias("unison")))
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+@_query(f"""
+with x as (select t, dots, {_BASE_SQL}[i + 1]::hugeint * (2 ** (dots + 1) - 1)::hugeint as num, (2 ** dots)::hugeint as den from (select t, i from {_DUR}), (select unnest(range(5)) as dots))
+select t as type, cast(dots as integer) as dots, cast(num // den as bigint) as divisions from x where num % den = 0
+""")
+def written_durations(spark, d):
+    """The written durations that come out whole."""
+    return dimensions.durations(spark)
+
+
+@_query("""
+select 'raw/' || file_id || '.mscx' as source_path, 'musicxml/' || file_id || '.musicxml' as target_path from raw_files where file_id % 2 = 0 and file_id % 3 <> 0
+""")
+def conversion_jobs(spark, d):
+    """Mscx files without a MusicXML file yet."""
+    ids = _t(spark, d, "raw_files").select("file_id")
+    found = ids.select(F.concat(F.lit("raw/"), "file_id", F.when(F.col("file_id") % 2 == 0, F.lit(".mscx")).otherwise(F.lit(".mscz"))).alias("path"))
+    done = ids.where("file_id % 3 = 0").select(F.concat(F.lit("musicxml/"), "file_id", F.lit(".musicxml")).alias("path"))
+    return corpus.conversion_jobs(found, done)
+
+
+@_query("""
+select source, format, repository is null as manual, 'data/raw/' || source as raw_dir, 'data/corpus/' || source as corpus_dir from (values
+  ('bach_chorales', 'kern', ''), ('beethoven_quartets', 'kern', ''), ('inventions', 'kern', ''), ('wtc_fugues', 'kern', ''), ('haydn_quartets', 'kern', ''), ('mozart_quartets', 'kern', ''), ('polish_scores', 'kern', ''),
+  ('openscore_lieder', 'musicxml', ''), ('openscore_quartets', 'musicxml', ''), ('pdmx', 'mxl', null)) as v(source, format, repository)
+""")
+def catalogue(spark, d):
+    """The public corpora, where they lie, and which must be fetched by hand."""
+    return dimensions.sources(spark).select("source", "format", F.col("repository").isNull().alias("manual"), "raw_dir", "corpus_dir")
+
+
 # --- vocabulary and tokens ------------------------------------------------------------------------------------------
 
 _VOCAB = f"""
@@ -471,6 +585,31 @@ def sample_sequences(spark, d):
     return sampling.sample_with_replacement(t, ["seq_id"], t.count(), seed=11)
 
 
+@_query("select count(*) as draws, true as known, true as repeatable from tokens_bin")
+def sample_draws(spark, d):
+    """The sampler's promises: as many draws as were asked, all of them rows there are, the same again for the same seed."""
+    t = _t(spark, d, "tokens_bin").select("seq_id")
+    once, again = (sampling.sample_with_replacement(t, ["seq_id"], t.count(), seed=11) for _ in range(2))
+    known = once.join(t.withColumnRenamed("seq_id", "k").distinct(), F.col("seq_id") == F.col("k"), "left")
+    both = known.join(again.withColumnRenamed("seq_id", "s"), "draw", "full")
+    return both.agg(F.count("draw").alias("draws"), F.every(F.col("k").isNotNull()).alias("known"), F.every(F.col("seq_id").eqNullSafe(F.col("s"))).alias("repeatable"))
+
+
+@_query(f"""
+with {scores._CELLS}, n as (select cast(i as varchar) as score_key, 4 + 2 * count(distinct part_idx) - 1 + 2 * count(*) as tokens from notes group by i)
+select cast(file_id as varchar) as score_key, cast(n.tokens as bigint) as tokens, case when n.tokens is null then 'no_exclusive_interpretation' end as code from raw_files left join n on n.score_key = cast(file_id as varchar) where content is not null
+""")
+def stream_ingest(spark, d):
+    """S6 R6 as a stream: every listed file read as kern as it arrives, once, to ids or a typed refusal."""
+    schema = spark.read.parquet(f"{d}/raw_files.parquet").schema
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/raw_files.parque[t]")
+    files = arriving.where("content is not null").select(F.col("file_id").cast("string").alias("path"), "content")
+    out = new_path(spark, "stream")
+    ingest.start_ingest(files, "kern", out, f"{out}/state").awaitTermination()
+    ok = spark.read.schema("score_key string, tokens array<int>").parquet(f"{out}/tokens").select("score_key", F.size("tokens").cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("code"))
+    return ok.unionByName(spark.read.schema("score_key string, code string").parquet(f"{out}/errors").select("score_key", F.lit(None).cast("bigint").alias("tokens"), "code"))
+
+
 @_query("select file_id, regexp_extract(path, '[^/]*$') as name from raw_files")
 def base_names(spark, d):
     """the last part of each path."""

@@ -84,8 +84,8 @@ def download(row, raw: str = "data/raw") -> str:
         return "ok" if target.is_dir() else "manual_download_required"
     if (target / ".git").is_dir():
         return "already_downloaded"
-    ran = subprocess.run(["git", "clone", "--depth", "1", row["repository"], str(target)], capture_output=True)
-    return "ok" if ran.returncode == 0 else "git_clone_failed"
+    ran = subprocess.run(["git", "clone", "--depth", "1", row["repository"], str(target)], stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True)
+    return "ok" if ran.returncode == 0 else f"git_clone_failed {ran.returncode}: {ran.stdout.strip()}"
 
 
 def _parse_one(kind: str, key: str, content: bytes | str) -> dict:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavewright.functions import pitch
-from stavewright.operators.stats import coverage
+from stavewright.operators.stats import corpus_stats, coverage, failure_histogram
 from stavewright.sources import corpus, dimensions
+from stavewright.storage import filesystem
 
 
 def by_family(roster: DataFrame, family: str) -> DataFrame:
@@ -37,6 +38,29 @@ def instrument_table(roster: DataFrame) -> DataFrame:
     ).orderBy("ord")
 
 
+def _has(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def status(spark: SparkSession, raw: str, out: str) -> DataFrame:
+    """The catalogue with where each source stands: ``missing``, ``downloaded`` or ``built``, and what a built corpus holds."""
+    rows = dimensions.sources(spark).drop("raw_dir", "corpus_dir").collect()  # ten
+    told = []
+    for r in rows:
+        built = _has(spark, f"{out}/{r.source}/meta")
+        counted = corpus.load_index(spark, f"{out}/{r.source}").agg(F.count("*"), F.sum("tokens")).first() if built else (None, None)
+        told.append((*r, "built" if built else "downloaded" if _has(spark, f"{raw}/{r.source}") else "missing", *counted))
+    return spark.createDataFrame(told, "source string, format string, glob string, subset string, repository string, note string, status string, files bigint, tokens bigint")
+
+
+def built_stats(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Of a built corpus: ``(one row of statistics with coverage, refusals by code)``."""
+    errors = spark.read.parquet(f"{out}/errors")
+    stats = corpus_stats(corpus.load_index(spark, out).withColumn("corpus", F.lit(out)), errors.withColumn("corpus", F.lit(out)), ["corpus"])
+    return stats.withColumn("percent", coverage(F.col("files_ok"), F.col("files_ok") + F.col("files_failed"))), failure_histogram(errors, F.col("code"))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="stavewright")
     sub = p.add_subparsers(dest="what", required=True)
@@ -62,15 +86,15 @@ def main(argv: list[str] | None = None) -> None:
         instrument_table(roster).drop("ord").show(200, truncate=False)
         return
     if not args.source:
-        dimensions.sources(spark).show(truncate=False)
+        status(spark, args.raw, args.out).show(truncate=False)
         return
     row = dimensions.sources(spark).where(F.col("source") == args.source).first()
     if row is None:
         p.error(f"no source {args.source!r}")
     files = corpus.source_files(spark, f"{args.raw}/{args.source}", row.glob, row.subset)
     corpus.write_corpus(corpus.parse_scores(files, "path", F.lit(row.format)), f"{args.out}/{args.source}", row.format)
-    ok, failed = corpus.load_index(spark, f"{args.out}/{args.source}").count(), spark.read.parquet(f"{args.out}/{args.source}/errors").count()
-    spark.range(1).select(F.lit(ok).alias("ok"), F.lit(failed).alias("failed"), coverage(F.lit(ok), F.lit(ok + failed)).alias("percent")).show()
+    for table in built_stats(spark, f"{args.out}/{args.source}"):
+        table.show(100, truncate=False)
 
 
 if __name__ == "__main__":

@@ -48,3 +48,16 @@ def test_the_source_names_the_kind(spark, tmp_path):
     spark.createDataFrame([("k", "kern"), ("x", "musicxml"), ("m", "mxl")], "source string, format string").write.parquet(f"{tmp_path}/sources.parquet")
     got = {int(r.score_key): r.code for r in reference.kern_ingest(spark, str(tmp_path)).collect()}
     assert {i: got[i] for i in got if i != 8} == {1: None, 2: None, 3: None, 4: None, 5: None, 6: "unknown_format", 7: "unknown_format", 9: "empty"} and got[8] is not None
+
+
+def test_status_and_statistics(spark, tmp_path):
+    put(tmp_path / "raw" / "inventions" / "kern/a.krn", "**kern\n4c\n*-\n")
+    put(tmp_path / "raw" / "inventions" / "kern/b.krn", "**kern\n17c\n*-\n")
+    put(tmp_path / "raw" / "wtc_fugues" / "kern/a.krn", "**kern\n4c\n*-\n")
+    assert built(spark, tmp_path, "inventions") == [("kern/a.krn", 0)]
+    told = {r.source: (r.status, r.files, r.tokens) for r in cli.status(spark, f"{tmp_path}/raw", f"{tmp_path}/out").collect()}
+    assert len(told) == 10 and told["inventions"] == ("built", 1, 7) and told["wtc_fugues"] == ("downloaded", None, None) and told["pdmx"] == ("missing", None, None)
+    stats, refused = cli.built_stats(spark, f"{tmp_path}/out/inventions")
+    row = stats.first()
+    assert (row.files_ok, row.files_failed, row.total_tokens, row.p50, row.percent) == (1, 1, 7, 7, 50.0) and [tuple(r) for r in refused.collect()] == [("unsupported_tuplet", 1)]
+    cli.main(["corpus", "--raw", f"{tmp_path}/raw", "--out", f"{tmp_path}/out"])

@@ -2,11 +2,11 @@
 
 import pytest
 
-from stavewright.plans import compaction, reference
+from stavewright.plans import compaction, reference, scores
 from tests.conftest import SMALL
 
-QUERIES = compaction.QUERIES | reference.QUERIES
-ORACLES = compaction.ORACLES | reference.ORACLES
+QUERIES = compaction.QUERIES | reference.QUERIES | scores.QUERIES
+ORACLES = compaction.ORACLES | reference.ORACLES | scores.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -152,6 +152,38 @@ def test_windows_and_sums(spark):
         sampling.sample_with_replacement(df.limit(0), ["o"], 3, 1)
 
 
+def test_sums_over_keys_that_span_ranges(spark):
+    rows = [("hot", None, i, i % 7) for i in range(3000)] + [(None, "x", i, 1) for i in range(50)] + [("x", None, i, 2) for i in range(50)] + [(f"k{i}", "y", 0, 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, o int, v int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the small table is one range
+    try:
+        got = prefix_sums(df, ["a", "b"], ["o"], F.col("v"), "s").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    totals, want = {}, {}
+    for a, b, o, v in sorted(rows, key=lambda r: (str(r[:2]), r[2])):
+        want[a, b, o] = totals.get((a, b), 0)
+        totals[a, b] = want[a, b, o] + v
+    assert {(r.a, r.b, r.o): r.s for r in got} == want and len(got) == len(rows)
+
+
+def test_what_does_not_pack_and_what_models_weigh(spark):
+    ids = spark.createDataFrame([(1, [70000]), (2, [-1]), (3, [1, None]), (4, [7])], "i int, t array<int>")
+    assert [r.b and bytes(r.b) for r in ids.select("i", sampling.pack_u16(F.col("t")).alias("b")).orderBy("i").collect()] == [None, None, None, b"\x07\x00"]
+    shapes = spark.createDataFrame([([3, 4],), ([5],), ([],)], "shape array<bigint>")
+    assert stats.parameter_count(shapes).first()[0] == 18 and stats.parameter_count(shapes.limit(0)).first()[0] == 0
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stavewright.storage import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="a")))
+
+
 def test_layout(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([3, 3, 1, 1, 3, None, None])], "m int, o int, v int")
     assert [r.group_no for r in layout.voice_groups(df, ["m"], ["o"], "v").orderBy("o").collect()] == [0, 0, 1, 1, 2, 3, 3]
@@ -184,7 +216,7 @@ def test_corpus_round_trip(spark, tmp_path):
 
 
 def test_dimensions_and_rendering(spark):
-    from stavewright.operators.render import available, render_svg
+    from stavewright.operators.render import available, render_pdf, render_svg
 
     assert dimensions.sources(spark).count() == 10 and dimensions.instruments(spark).where("transposition is not null").count() == 58 and dimensions.durations(spark).count() == 54
     assert corpus.download({"source": "none", "repository": None}, "/nonexistent") == "manual_download_required"
@@ -194,3 +226,5 @@ def test_dimensions_and_rendering(spark):
     assert (names["clarinet"], names["vlc"], names["clarinetineb"], names["horn"]) == ("clarinet", "cello", "clarinet_eb", "horn")
     if not available()["verovio"]:
         assert render_svg(spark.createDataFrame([("k", "<x/>")], "score_key string, xml string")).first().error == "renderer_not_found"
+    if not available()["rsvg-convert"]:
+        assert render_pdf(spark.createDataFrame([("k", "<x/>"), ("n", None)], "score_key string, xml string")).collect() == [("k", None, "renderer_not_found")]

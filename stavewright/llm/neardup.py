@@ -162,8 +162,7 @@ def frequencies(sequences: DataFrame, bits: int, w: int) -> np.ndarray:
         total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for _, _, elements in _sets(batch, w):
-                slots, n = np.unique(elements >> np.uint64(64 - bits), return_counts=True)
-                total[slots.astype(np.int64)] += n.astype(np.int32)
+                np.add.at(total, (elements >> np.uint64(64 - bits)).astype(np.int64), 1)
         pages = np.minimum(total, 255).astype(np.uint8).reshape(-1, min(PAGE, 1 << bits))
         for i in np.flatnonzero(pages.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(pages[i].tobytes(), 1)], pa.binary())], ["page", "counters"])
@@ -198,37 +197,29 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
         for batch in batches:
             for seqs, sizes, elements in _sets(batch, w):
                 often = counters[(elements >> np.uint64(64 - bits)).astype(np.int64)]
-                rows, places, owners, rings, at = [], [], [], [], 0
-                for i, n in enumerate(sizes.tolist()):
+                rows, places, owners, at = [], [], [], 0
+                for n in sizes.tolist():
                     mine = often[at : at + n]
                     order = np.argsort(mine, kind="stable")[: n - math.ceil(t * n - 1e-9) + SHARED]  # sorted by hash: so ties go
                     alone = int(np.searchsorted(mine[order], 1, side="right"))  # nobody else has these: they meet nobody
                     rows.append(order[alone:] + at)
                     places.append(np.arange(alone, len(order), dtype=np.int32))
                     owners.append(len(order) - alone)
-                    rings.append(parity_sketch(elements[at : at + n], ring_bits(n)))
                     at += n
-                sig = np.append(elements[np.concatenate(rows)].view(np.int64), np.zeros(len(seqs), dtype=np.int64))
-                # Rows with a sketch and no signature: one a sequence.
-                columns = (
-                    pa.array(sig), pa.array(np.append(np.repeat(seqs, owners), seqs)), pa.array(np.append(np.repeat(sizes, owners), sizes).astype(np.int32)),
-                    pa.array(np.append(np.concatenate(places), np.full(len(seqs), -1, dtype=np.int32))), pa.array([None] * sum(owners) + rings, pa.binary()),
-                )
-                yield pa.RecordBatch.from_arrays(list(columns), ["sig", "seq", "n", "place", "ring"])
-
-    # Signatures and sketches of one pass over the sequences, written once.
-    made = materialize(firsts.mapInArrow(sign, "sig bigint, seq bigint, n int, place int, ring binary").withColumn("kind", (F.col("place") < 0).cast("int")), "signed", "kind")
-    signed = made.where("kind = 0").select("sig", "seq", "n", "place")
-    rings = made.where("kind = 1").select("seq", "n", "ring")
+                columns = (elements[np.concatenate(rows)].view(np.int64), np.repeat(seqs, owners), np.repeat(sizes, owners).astype(np.int32), np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "seq", "n", "place"])
+
+    signed = firsts.mapInArrow(sign, "sig bigint, seq bigint, n int, place int")
     a, b = signed.alias("a"), signed.alias("b")
     # Sizes must be near enough, and what lies before and after the shared element must allow the overlap.
     overlap = f"{t / (1 + t)} * (a.n + b.n) - 1e-6"
     near = f"""a.sig = b.sig AND a.seq < b.seq AND least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9
         AND least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {overlap}"""
     met = a.join(b, F.expr(near)).groupBy(F.col("a.seq").alias("class_a"), F.col("b.seq").alias("class_b")).agg(F.count("*").alias("shared"), F.max(F.expr(f"least({SHARED}, ceil({overlap}))")).alias("least"))
-    candidates = met.where("shared >= least").select("class_a", "class_b")
+    candidates = materialize(met.where("shared >= least").select("class_a", "class_b"), "candidates")
+    needed = candidates.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct()
 
-    def both(pairs: DataFrame, described: DataFrame, *columns: str) -> DataFrame:
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
             pairs = pairs.join(described.select(F.col("seq").alias(f"class_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns]), f"class_{side}")
         return pairs
@@ -248,7 +239,11 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seqs, sizes, elements in _sets(batch, w):
-                yield pa.RecordBatch.from_arrays([pa.array(seqs), _longs(elements, sizes)], ["seq", "elements"])
+                ends = np.cumsum(sizes).tolist()
+                rings = [parity_sketch(elements[end - n : end], ring_bits(n)) for n, end in zip(sizes.tolist(), ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(seqs), pa.array(sizes), pa.array(rings, pa.binary()), _longs(elements, sizes)], ["seq", "n", "ring", "elements"])
+
+    described = materialize(firsts.join(needed, "seq_id", "left_semi").mapInArrow(describe, "seq bigint, n bigint, ring binary, elements array<bigint>"), "described")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,10 +254,8 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
                 kept.append(common / (len(x) + len(y) - common) >= t)
             yield batch.select(["class_a", "class_b"]).filter(pa.array(kept, pa.bool_()))
 
-    pruned = materialize(both(candidates, rings, "n", "ring").mapInArrow(chain, "class_a bigint, class_b bigint"), "pruned")
-    needed = pruned.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct()
-    elements = materialize(firsts.join(needed, "seq_id", "left_semi").mapInArrow(describe, "seq bigint, elements array<bigint>"), "elements")
-    return both(pruned, elements, "elements").mapInArrow(verify, "class_a bigint, class_b bigint")
+    pruned = both(candidates, "n", "ring").mapInArrow(chain, "class_a bigint, class_b bigint")
+    return both(pruned, "elements").mapInArrow(verify, "class_a bigint, class_b bigint")
 
 
 def similar_classes(sequences: DataFrame, t: float = 0.8, w: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,8 @@ SKETCH_BITS = 25
 PAGE = 1 << 18
 #: Tasks whose counters one group adds up.
 FAN = 32
+#: A list of ids is broadcast up to so many rows (8 MB), else joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Ids that are worked on at once, so that memory doesn't follow a batch of long rows (one sequence is one piece).
 IDS_AT_ONCE = 1 << 20
 
@@ -155,6 +157,11 @@ def _with_shingles(sequences: DataFrame, w: int) -> DataFrame:
     return sequences.where(f"seq_id is not null and size(tokens) >= {w}").select(F.col("seq_id").cast("bigint").alias("seq_id"), "tokens")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if their number, which is counted, allows it; else sequences are shuffled to meet them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def frequencies(sequences: DataFrame, bits: int, w: int) -> np.ndarray:
     """2^``bits`` counters of one byte: how many sequences hold an element of that hash, 255 for any more. Never too low, so a 1 is sure."""
 
@@ -187,7 +194,7 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
     """``(class_a, class_b)`` of classes whose sets have Jaccard at least ``t``, smaller id first; every link, no class with itself."""
     spark = sequences.sparkSession
     copies = classes.where("seq_id <> class_id").select("seq_id")
-    firsts = _with_shingles(sequences, w).join(copies, "seq_id", "left_anti")
+    firsts = _with_shingles(sequences, w).join(_small(copies), "seq_id", "left_anti")
     total = classes.where("seq_id = class_id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(SKETCH_BITS, max(8, (total - 1).bit_length()))
     frequency = spark.sparkContext.broadcast(frequencies(firsts, bits, w))
@@ -217,7 +224,7 @@ def class_links(sequences: DataFrame, classes: DataFrame, t: float, w: int = 5)
         AND least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {overlap}"""
     met = a.join(b, F.expr(near)).groupBy(F.col("a.seq").alias("class_a"), F.col("b.seq").alias("class_b")).agg(F.count("*").alias("shared"), F.max(F.expr(f"least({SHARED}, ceil({overlap}))")).alias("least"))
     candidates = materialize(met.where("shared >= least").select("class_a", "class_b"), "candidates")
-    needed = candidates.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct()
+    needed = _small(materialize(candidates.select(F.explode(F.array("class_a", "class_b")).alias("seq_id")).distinct(), "needed"))
 
     def both(pairs: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":

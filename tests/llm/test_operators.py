@@ -93,6 +93,53 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
         neardup.similar_classes(same, 0)
 
 
+def test_near_duplicates_in_rounds_parts_and_small_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, [r.randint(0, 30) for _ in range(r.choice([6, 9, 14, 18, 40, 200]))]) for i in range(60)]
+    for i in range(60, 160):
+        x = list(r.choice(rows[:60])[1])
+        for _ in range(r.randint(0, 1 + len(x) // 25)):
+            x[r.randrange(len(x))] = r.randint(0, 30)
+        rows.append((i * 1_000_003 % 997 - 400, x))
+    monkeypatch.setattr(neardup, "ROUND", 500)
+    monkeypatch.setattr(neardup, "PART", 200)
+    monkeypatch.setattr(neardup, "HELD", 300)
+    rows = list(dict(rows).items())
+    want = jaccard_pairs(rows, 0.6)
+    df = spark.createDataFrame([(i, x, "k", 1) for i, x in rows], SEQ)
+    assert {tuple(x) for x in neardup.similar_pairs(df, 0.6).collect()} == want and len(want) > 20
+
+
+def votes(a, b, t):
+    """What two sets of ordered keys give each other."""
+    sizes = np.array([len(a), len(b)])
+    hashes, owners, single = neardup.signatures(np.concatenate([a, b]), sizes, t)
+    rows = [owners == k for k in (0, 1)]
+    octaves = neardup._octaves(sizes)[owners] | (single.astype(np.uint8) << 7)
+    blocks = [(k, 1, np.zeros(m.sum(), np.uint8).tobytes(), hashes[m].astype(np.uint32).tobytes(), octaves[m].tobytes()) for k, m in enumerate(rows)]
+    return sum(int(v.sum()) for _, _, v in neardup.meetings(blocks, t))
+
+
+@pytest.mark.parametrize("t", [0.45, 0.55, 0.6, 0.8])
+def test_similar_sets_meet_wherever_they_differ(t):
+    rng = np.random.default_rng(4)
+    for size in range(1, 90):
+        keys = np.arange(size, dtype=np.uint64) * np.uint64(7919) + np.uint64(2 << 56)  # two sets hold each
+        d = int((1 - t) * size + 1e-9)
+        for apart in (rng.choice(size, d, replace=False), (np.arange(d) * 2 + 1) % size, np.arange(d)):
+            side = rng.integers(0, 2, len(apart))
+            a, b = np.delete(keys, apart[side == 0]), np.delete(keys, apart[side == 1])
+            if len(a) and len(b) and len(np.intersect1d(a, b)) >= t * size:
+                assert votes(a, b, t) >= neardup.SHARED
+
+
+def test_strangers_of_common_elements_hardly_meet():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(4000, 250, replace=False)).astype(np.uint64) + np.uint64(20 << 56) for _ in range(60)]  # some 15 elements are common to any two
+    given = [votes(a, b, 0.6) for i, a in enumerate(sets) for b in sets[:i]]
+    assert np.mean(given) < 1 and np.mean([v >= neardup.SHARED for v in given]) < 0.03
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=16, max_size=16), min_size=1, max_size=5), st.integers(0, 60))
 def test_pigeonring_never_loses_what_is_within_the_budget(boxes, budget):
